@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, mixing, packing
+from . import exact_topk, mixing, packing, secret_scan, winnowing
 from .common import table
 
 
@@ -19,6 +19,27 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{secret_scan.KINDS[k]}")
+    return found.select("doc_id", of(0), of(1), of(2), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.with_next(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", winnowing.edited(F.col("text"), F.col("next_text"))).withColumn("edited_fp", winnowing.fingerprint(F.col("edited")))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.written(F.col("fp")).alias("fingerprint"),
+        winnowing.written(F.col("edited_fp")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        winnowing.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 1)
 
@@ -27,7 +48,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(exact_topk.quantized(table(spark, sf_dir, "embeddings"), 256), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op9_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_secret_scan, op8_winnowing, op9_packing, op10_exact_topk)}
 
 ORACLES = {
     "op10_exact_topk": """
