@@ -8,9 +8,13 @@ rank comes from counts of hash buckets, so that a common length is never sorted
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,37 +22,59 @@ from pyspark.sql import functions as F
 from .common import buckets_for, durable, range_bucket
 
 SIZE = 2048
-#: Words whose ids a task remembers; then it forgets them and starts again.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker remembers; then it forgets them and starts again.  Texts whose words it learns at once.
+CACHED_WORDS, TOGETHER = 1_500_000, 256
 BUCKET_ROWS = 8192
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordTokens:
-    """Ids of texts as little-endian unsigned 32-bit bytes.  White space never joins two tokens of this tokenizer, so words can be encoded, and remembered, one by one."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    White space never joins two tokens of this tokenizer, so words are encoded, and remembered, one by one; new words
+    go to it in one call, joined by blanks, and token offsets tell them apart.  Closing ASCII punctuation after an
+    ASCII letter is never part of the letters' tokens, and case is folded: so such words share what is known.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
-
-    def __missing(self, words: set[bytes]) -> None:
-        if len(self.seen) > CACHED_WORDS:
-            self.seen.clear()
-        new = list(words - self.seen.keys())
-        for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.seen[word] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+
+    @classmethod
+    def of_worker(cls, path: str) -> WordTokens:
+        """One for all tasks of a Python worker."""
+        kept = sys.modules.setdefault("_clauselake_worker", types.ModuleType("_clauselake_worker")).__dict__
+        if ("tokens", path) not in kept:
+            kept["tokens", path] = cls(path)
+        return kept["tokens", path]
+
+    def encode(self, parts: list[bytes]) -> None:
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            texts = [p.decode() for p in some]
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids, at = np.array(e.ids, "<u4").tobytes(), np.array([x for x, _ in e.offsets], np.int64)
+            cuts = (np.searchsorted(at, np.cumsum([0] + [len(t) + 1 for t in texts])) * 4).tolist()
+            self.parts.update((p, ids[x:y]) for p, x, y in zip(some, cuts, cuts[1:]))
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Makes all words of these texts known."""
+        if len(self.words) + len(self.parts) > CACHED_WORDS:
+            self.words.clear()
+            self.parts.clear()
+        new = {w for t in texts for w in t.split()} - self.words.keys()  # bytes split at ASCII white space only
+        split = {}
+        for w in new:
+            core = w.rstrip(b".,!?;:")
+            split[w] = (core.lower(), w[len(core) :]) if core[-1:].isalpha() else (w.lower(), b"")
+        self.encode(list({p for pair in split.values() for p in pair if p} - self.parts.keys()))
+        self.parts[b""] = b""
+        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in split.items())
 
     def __call__(self, text: bytes) -> bytes:
-        words = text.split()  # of bytes: at ASCII white space only
-        try:
-            return b"".join(map(self.seen.__getitem__, words))
-        except KeyError:
-            self.__missing(set(words))
-            for w in words:  # a text may have more words than are kept
-                if w not in self.seen:
-                    self.__missing({w})
-            return b"".join([self.seen[w] for w in words])
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
@@ -56,17 +82,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_path)
+        tokens = WordTokens.of_worker(tokenizer_path)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                ids = tokens(text.as_py() or b"") + end
-                n = len(ids) // 4
-                for start in range(0, n, size):
-                    piece = ids[4 * start : 4 * (start + size)]
-                    for column, value in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for at in range(0, batch.num_rows, TOGETHER):
+                out: list[list] = [[], [], [], [], []]
+                some = batch.slice(at, TOGETHER)
+                texts = [x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()]
+                tokens.learn(texts)
+                for doc, text in zip(some.column(0).to_pylist(), texts, strict=True):
+                    ids = tokens(text) + end
+                    n = len(ids) // 4
+                    for start in range(0, n, size):
+                        piece = ids[4 * start : 4 * (start + size)]
+                        for column, value in zip(out, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
