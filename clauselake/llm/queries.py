@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, mixing, packing, secret_scan, winnowing
+from . import exact_topk, mixing, packing, secret_scan, toxicity, url_filters, winnowing
 from .common import table
 
 
@@ -19,6 +19,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
 
 
+#: The rules of op4.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
@@ -26,6 +34,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0), of(1), of(2), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    rows = toxicity.scored(docs, machine)
+    return rows.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = winnowing.with_next(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("edited", winnowing.edited(F.col("text"), F.col("next_text"))).withColumn("edited_fp", winnowing.fingerprint(F.col("edited")))
@@ -48,7 +63,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(exact_topk.quantized(table(spark, sf_dir, "embeddings"), 256), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_secret_scan, op8_winnowing, op9_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_url_filters, op5_secret_scan, op7_toxicity, op8_winnowing, op9_packing, op10_exact_topk)}
 
 ORACLES = {
     "op10_exact_topk": """
