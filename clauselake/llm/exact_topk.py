@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The index is fitted on this many rows, those with the least hash of their id: the first PIVOTS of them are pivots.
-SAMPLE, PIVOTS, ANNULI = 2048, 64, 32
+SAMPLE, PIVOTS, ANNULI = 2048, 32, 16
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
 OUT = "query_id long, vec_id long, score long"
 
 
 def quantized(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id and vec (array<long>: floor(scale * x), x as double).  Vectors null, or holding null or non-finite components, are left out."""
-    big = 2**53 // scale
     v = F.col(vector_col)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     return vectors.where(F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vec"))
@@ -83,13 +82,14 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
                 yield pd.DataFrame({"id": b["id"], "vec": b["vec"], "pivot": near.astype(np.int32), "annulus": np.floor(d[np.arange(len(d)), near] / width).astype(np.int32), "dist": d[np.arange(len(d)), near]})
 
     keyed = vectors.select("id", "vec").mapInPandas(key, "id long, vec array<long>, pivot int, annulus int, dist double")
-    # PIVOTS * ANNULI rows at most: may be broadcast.
+    # PIVOTS * (ANNULI + 1) rows at most: may be broadcast, and listed by the driver.
     counts = keyed.groupBy("pivot", "annulus").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    cells = sorted((r["pivot"], r["annulus"]) for r in counts.collect())
     salted = keyed.join(F.broadcast(counts), ["pivot", "annulus"]).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "id", "dist"), F.col("parts")).cast("int"))
 
     def packed(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["dist", "id"])
-        return pd.DataFrame({"pivot": g["pivot"].iloc[:1], "annulus": g["annulus"].iloc[:1], "ids": [g["id"].to_numpy(np.int64).tobytes()], "vecs": [np.stack(g["vec"].to_numpy()).astype(np.float64).tobytes()], "dists": [g["dist"].to_numpy(np.float64).tobytes()]})
+        return pd.DataFrame({"pivot": g["pivot"].iloc[:1], "annulus": g["annulus"].iloc[:1], "ids": [g["id"].to_numpy(np.int64).tobytes()], "vecs": [np.stack(g["vec"].to_numpy()).astype("<i4").tobytes()], "dists": [g["dist"].to_numpy(np.float64).tobytes()]})
 
     blocks = salted.groupBy("pivot", "annulus", "part").applyInPandas(packed, "pivot int, annulus int, ids binary, vecs binary, dists binary")
     queries = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(max(1, -(-vectors.where(is_query).count() // BLOCK_QUERIES)))))
@@ -110,14 +110,12 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
         scores = np.where(own[:, None] == ids[None, :], -np.inf, q @ rows.T)
         floor = np.sort(scores, 1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
         d, wanted = distances(sphere(q)), []
-        for a in range(ANNULI + 1):
-            low, top = a * width, (a + 1) * width
-            away = np.maximum(0, np.maximum(low - d, d - top))
-            away = np.maximum(0, away - 1e-6 * (1 + high**0.5))
-            opened = (np.stack([bound(q, x) for x in away.T], 1) >= floor[:, None]).any(0)
-            wanted += [(int(p), a) for p in np.flatnonzero(opened)]
+        for p, a in cells:
+            away = np.maximum(0, np.maximum(a * width - d[:, p], d[:, p] - (a + 1) * width) - 1e-6 * (1 + high**0.5))
+            if (bound(q, away) >= floor).any():
+                wanted.append((p, a))
         n = len(wanted)
-        return pd.DataFrame({"pivot": [p for p, _ in wanted], "annulus": [a for _, a in wanted], "qids": [own.tobytes()] * n, "qvecs": [q.tobytes()] * n, "floors": [floor.tobytes()] * n})
+        return pd.DataFrame({"pivot": [p for p, _ in wanted], "annulus": [a for _, a in wanted], "qids": [own.tobytes()] * n, "qvecs": [q.astype("<i4").tobytes()] * n, "floors": [floor.tobytes()] * n})
 
     asked = queries.groupBy("block").applyInPandas(ask, "pivot int, annulus int, qids binary, qvecs binary, floors binary")
 
@@ -125,8 +123,8 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
         for b in batches:
             for x in b.itertuples():
                 got, dist = np.frombuffer(x.ids, np.int64), np.frombuffer(x.dists)
-                vecs, own = np.frombuffer(x.vecs).reshape(-1, dim), np.frombuffer(x.qids, np.int64)
-                q, floor = np.frombuffer(x.qvecs).reshape(-1, dim), np.frombuffer(x.floors)
+                vecs, own = np.frombuffer(x.vecs, "<i4").reshape(-1, dim).astype(np.float64), np.frombuffer(x.qids, np.int64)
+                q, floor = np.frombuffer(x.qvecs, "<i4").reshape(-1, dim).astype(np.float64), np.frombuffer(x.floors)
                 center = distances(sphere(q))[:, x.pivot]
                 slack = 1e-6 * (1 + high**0.5)
                 away = np.maximum(0, np.maximum(dist[0] - center, center - dist[-1]) - slack)
@@ -140,4 +138,5 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
                 at = {i: r for r, i in enumerate(live)}
                 yield pd.DataFrame({"query_id": [own[i] for i, _ in found], "vec_id": [got[j] for _, j in found], "score": [int(scores[at[i], j]) for i, j in found]}, columns=["query_id", "vec_id", "score"])
 
-    return asked.join(blocks, ["pivot", "annulus"]).select("ids", "dists", "vecs", "qids", "qvecs", "floors", "pivot").mapInPandas(search, OUT)
+    # What an annulus and its queries weigh is not seen in the size of the input: never broadcast.
+    return asked.hint("merge").join(blocks.hint("merge"), ["pivot", "annulus"]).select("ids", "dists", "vecs", "qids", "qvecs", "floors", "pivot").mapInPandas(search, OUT)
