@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, mixing, packing, secret_scan, toxicity, url_filters, winnowing
+from . import exact_topk, mixing, ngram_join, packing, secret_scan, toxicity, url_filters, winnowing
 from .common import table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
 
@@ -63,7 +67,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(exact_topk.quantized(table(spark, sf_dir, "embeddings"), 256), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_url_filters, op5_secret_scan, op7_toxicity, op8_winnowing, op9_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mix_sources, op4_url_filters, op5_secret_scan, op7_toxicity, op8_winnowing, op9_packing, op10_exact_topk)}
 
 ORACLES = {
     "op10_exact_topk": """
