@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, mixing, ngram_join, packing, secret_scan, toxicity, url_filters, winnowing
+from . import exact_topk, mixing, ngram_join, packing, secret_scan, suffix_dedup, toxicity, url_filters, winnowing
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The rules of op4.
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -67,7 +71,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(exact_topk.quantized(table(spark, sf_dir, "embeddings"), 256), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mix_sources, op4_url_filters, op5_secret_scan, op7_toxicity, op8_winnowing, op9_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mix_sources, op3_suffix_dedup, op4_url_filters, op5_secret_scan, op7_toxicity, op8_winnowing, op9_packing, op10_exact_topk)}
 
 ORACLES = {
     "op10_exact_topk": """
