@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, mixing, ngram_join, packing, secret_scan, suffix_dedup, toxicity, url_filters, winnowing
+from . import exact_topk, mixing, ngram_join, packing, quality_lm, secret_scan, suffix_dedup, toxicity, url_filters, winnowing
 from .common import table
 
 
@@ -42,6 +42,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0), of(1), of(2), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
 
 
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(labels, "doc_id", "left")
+    return quality_lm.judged(docs, F.col("quality") == 1)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
@@ -71,7 +77,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(exact_topk.quantized(table(spark, sf_dir, "embeddings"), 256), F.col("id") % 50 == 0, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mix_sources, op3_suffix_dedup, op4_url_filters, op5_secret_scan, op7_toxicity, op8_winnowing, op9_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mix_sources, op3_suffix_dedup, op4_url_filters, op5_secret_scan, op6_quality_lm, op7_toxicity, op8_winnowing, op9_packing, op10_exact_topk)}
 
 ORACLES = {
     "op10_exact_topk": """
