@@ -59,22 +59,26 @@ class WordTokens:
             cuts = (np.searchsorted(at, np.cumsum([0] + [len(t) + 1 for t in texts])) * 4).tolist()
             self.parts.update((p, ids[x:y]) for p, x, y in zip(some, cuts, cuts[1:]))
 
-    def learn(self, texts: list[bytes]) -> None:
+    def learn(self, texts: list[list[bytes]]) -> None:
         """Makes all words of these texts known."""
         if len(self.words) + len(self.parts) > CACHED_WORDS:
             self.words.clear()
             self.parts.clear()
-        new = {w for t in texts for w in t.split()} - self.words.keys()  # bytes split at ASCII white space only
-        split = {}
-        for w in new:
-            core = w.rstrip(b".,!?;:")
-            split[w] = (core.lower(), w[len(core) :]) if core[-1:].isalpha() else (w.lower(), b"")
-        self.encode(list({p for pair in split.values() for p in pair if p} - self.parts.keys()))
-        self.parts[b""] = b""
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in split.items())
-
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        every: set[bytes] = set()
+        for t in texts:
+            every.update(t)
+        new = [w for w in every if w not in self.words]
+        cores = [w.rstrip(b".,!?;:") for w in new]
+        cores = [c if c[-1:].isalpha() else w for c, w in zip(cores, new, strict=True)]
+        keys = [c.lower() for c in cores]
+        tails = [w[len(c) :] for c, w in zip(cores, new, strict=True)]
+        parts = self.parts
+        parts[b""] = b""
+        self.encode([p for p in {*keys, *tails} if p not in parts])
+        self.words.update(zip(new, [parts[k] + parts[t] if t else parts[k] for k, t in zip(keys, tails, strict=True)], strict=True))
+
+    def __call__(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
@@ -87,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
             for at in range(0, batch.num_rows, TOGETHER):
                 out: list[list] = [[], [], [], [], []]
                 some = batch.slice(at, TOGETHER)
-                texts = [x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()]
+                texts = [(x or b"").split() for x in some.column(1).cast(pa.binary()).to_pylist()]  # at ASCII white space only
                 tokens.learn(texts)
                 for doc, text in zip(some.column(0).to_pylist(), texts, strict=True):
                     ids = tokens(text) + end
