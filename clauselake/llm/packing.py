@@ -12,18 +12,21 @@ import os
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, durable, range_bucket
+from .common import arrow_bytes, buckets_for, durable, range_bucket
 
 SIZE = 2048
-#: Words whose ids a worker remembers; then it forgets them and starts again.  Texts whose words it learns at once.
-CACHED_WORDS, TOGETHER = 1_500_000, 256
+#: Words of a generation whose ids a worker remembers; of the generation before, those that come again are taken over,
+#: and the rest is forgotten.  Texts whose words it learns at once.
+CACHED_WORDS, TOGETHER = 300_000, 64
+#: Text bytes that go to a worker at once.
+BATCH_BYTES = 8_000_000
 BUCKET_ROWS = 8192
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -40,7 +43,7 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words, self.old = Tokenizer.from_file(path), {}, {}
 
     @classmethod
     def of_worker(cls, path: str) -> WordTokens:
@@ -57,25 +60,37 @@ class WordTokens:
             e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids, at = np.array(e.ids, "<u4").tobytes(), np.array([x for x, _ in e.offsets], np.int64)
             cuts = (np.searchsorted(at, np.cumsum([0] + [len(t) + 1 for t in texts])) * 4).tolist()
-            self.parts.update((p, ids[x:y]) for p, x, y in zip(some, cuts, cuts[1:]))
+            self.words.update((p, ids[x:y]) for p, x, y in zip(some, cuts, cuts[1:]))
+
+    def unknown(self, words: Iterable[bytes]) -> list[bytes]:
+        """Those not in `words`, after what the generation before knows has been taken from there."""
+        known, old = self.words, self.old
+        out = []
+        for w in words:
+            if w not in known:
+                ids = old.get(w)
+                if ids is None:
+                    out.append(w)
+                else:
+                    known[w] = ids
+        return out
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Makes all words of these texts known."""
-        if len(self.words) + len(self.parts) > CACHED_WORDS:
-            self.words.clear()
-            self.parts.clear()
+        if len(self.words) > CACHED_WORDS:
+            self.old, self.words = self.words, {}
         every: set[bytes] = set()
         for t in texts:
             every.update(t)
-        new = [w for w in every if w not in self.words]
+        new = self.unknown(every)
         cores = [w.rstrip(b".,!?;:") for w in new]
         cores = [c if c[-1:].isalpha() else w for c, w in zip(cores, new, strict=True)]
         keys = [c.lower() for c in cores]
         tails = [w[len(c) :] for c, w in zip(cores, new, strict=True)]
-        parts = self.parts
-        parts[b""] = b""
-        self.encode([p for p in {*keys, *tails} if p not in parts])
-        self.words.update(zip(new, [parts[k] + parts[t] if t else parts[k] for k, t in zip(keys, tails, strict=True)], strict=True))
+        self.words[b""] = b""
+        self.encode(self.unknown({*keys, *tails}))
+        ids = self.words
+        ids.update(zip(new, [ids[k] + ids[t] if t else ids[k] for k, t in zip(keys, tails, strict=True)], strict=True))
 
     def __call__(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.words.__getitem__, words))
@@ -168,7 +183,8 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     table gives an empty one; a null doc_id is an id like others.
     """
     spark = cut.sparkSession
-    cut = durable(cut)
+    with arrow_bytes(spark, BATCH_BYTES):
+        cut = durable(cut)
     rows = cut.count()
     key = F.xxhash64("doc_id", "start", "ids_crc32") if "ids_crc32" in cut.columns else F.xxhash64("doc_id", "start")
     dealt = cut.withColumn("_key", key).withColumn("_bucket", range_bucket(F.col("_key"), buckets_for(rows, BUCKET_ROWS)))
