@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: At most so many labelled rows are used for fitting, those with the least hash of their id.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 6_000
 #: Terms kept, factors per term, letters of a word's beginnings, words a task remembers.
 TERMS, FACTORS, BEGINNINGS, CACHED = 4096, 4, (4, 5), 500_000
 EDGES = re.compile(r"^\W+|\W+$")
