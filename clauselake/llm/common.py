@@ -44,6 +44,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that `durable` wrote; nothing may read it any more."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
     """Jobs run inside send batches of about `most` bytes to Python: long texts otherwise make batches of any size."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def _flat(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
     now = durable(_flat(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")))
     mark = now.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while mark[0]:
-        now = durable(_small_star(_large_star(now)))
+        before, now = now, durable(_small_star(_large_star(now)))
+        discard(before)
         after = now.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == mark:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import durable
+from .common import discard, durable
 from .components import connected_components
 
 #: Counters of each sketch, and in how many rows a task sends its own; cells of the suffix filter.
@@ -59,7 +59,7 @@ def _sketches(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-SETS = "doc_id long, n long, c long, prefix array<long>, cells array<int>"
+SETS = "doc_id long, t long, n long, c long, prefix array<long>, cells array<tinyint>"
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -71,7 +71,7 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         common_word, common = sketch.value
         slots = np.uint64(SLOTS)
         for b in batches:
-            for row, data, at in S.chunks(b.column(1)):
+            for row, data, at in S.chunks(b.column(2)):
                 docs_here = len(at) - 1
                 w = S.words(data, at)
                 h, doc, first = S.shingles(w, k)
@@ -87,16 +87,17 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if len(h):
                     sums[n > 0] = np.add.reduceat(S.mix(h ^ S.ODD), start[n > 0])
                 c = S.mix(sums + n.astype(np.uint64)).view(np.int64)
-                cells = np.bincount(doc * CELLS + (h >> np.uint64(59)).astype(np.int64), minlength=docs_here * CELLS).astype(np.int32)
+                cells = np.bincount(doc * CELLS + (h >> np.uint64(59)).astype(np.int64), minlength=docs_here * CELLS)
+                cells = np.minimum(cells, 127).astype(np.int8)  # what is cut off makes sets look nearer, never farther
                 taken = np.where(n > 0, n + (-percent * n // 100) + 1, 0)
                 keep = np.arange(len(h)) - start[doc] < taken[doc]
                 lists = lambda flat, size: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(row, docs_here), pa.array(n, pa.int64()), pa.array(c), lists(pa.array(h[keep].view(np.int64)), taken), lists(pa.array(cells), np.full(docs_here, CELLS))],
-                    names=["doc_id", "n", "c", "prefix", "cells"],
+                    [b.column(0).slice(row, docs_here), b.column(1).slice(row, docs_here), pa.array(n, pa.int64()), pa.array(c), lists(pa.array(h[keep].view(np.int64)), taken), lists(pa.array(cells), np.full(docs_here, CELLS))],
+                    names=["doc_id", "t", "n", "c", "prefix", "cells"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(of, SETS)
+    return docs.select("doc_id", "t", "text").mapInArrow(of, SETS)
 
 
 def _may_overlap(n_a: Column, n_b: Column, most: Column, percent: int) -> Column:
@@ -105,12 +106,17 @@ def _may_overlap(n_a: Column, n_b: Column, most: Column, percent: int) -> Column
     return sizes & (most * (100 + percent) >= (n_a + n_b) * percent)
 
 
+def _suffix_filter(n_a: Column, n_b: Column, cells_a: Column, cells_b: Column, percent: int) -> Column:
+    """Whether counts by cell leave room for enough of an intersection."""
+    apart = F.aggregate(F.zip_with(cells_a, cells_b, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, x: t + x)
+    return _may_overlap(n_a, n_b, F.floor((n_a + n_b - apart) / 2), percent)
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """`pairs` (a, b) of linked sets: those that pass the suffix filter are compared whole."""
     side = lambda x, *cols: classes.select(F.col("c").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in cols])
     sized = pairs.join(side("a", "n", "cells"), "a").join(side("b", "n", "cells"), "b")
-    apart = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
-    near = sized.where(_may_overlap(F.col("n_a"), F.col("n_b"), F.floor((F.col("n_a") + F.col("n_b") - apart) / 2), percent)).select("a", "b")
+    near = sized.where(_suffix_filter(F.col("n_a"), F.col("n_b"), F.col("cells_a"), F.col("cells_b"), percent)).select("a", "b")
     text = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
     whole = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -145,17 +151,21 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     and otherwise links with nothing.  Columns but doc_id and text don't matter; an empty table gives an empty one.
     Sets and shingles are told apart by 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     sets = durable(_sets(docs, k, percent))
-    members = sets.select("doc_id", "n", "c")
-    classes = durable(sets.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")).where("least is not null"))
-    rows = classes.select("c", "n", F.posexplode("prefix").alias("pos", "token"))
+    members = durable(sets.select("doc_id", "n", "c"))
+    one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
+    grouped = sets.where("n > 0").groupBy("c").agg(one.alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")).where("one is not null")
+    classes = durable(grouped.select("c", "one", F.col("one.doc_id").alias("least"), "n", "cells"))
+    rows = grouped.select("c", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
     # Shingles of one class alone can't be common: `seen` counts the others before.
     hot = rows.join(shared, "token")
     hot = durable(hot.withColumn("seen", F.row_number().over(Window.partitionBy("c").orderBy("pos")) - 1))
-    used = classes.join(hot.select("c").distinct(), "c", "left_semi").select("c", F.col("least").alias("doc_id"))
-    texts = durable(_texts(docs, used, k))
+    discard(sets)
+    used = classes.join(hot.select("c").distinct(), "c", "left_semi").select("c", "one.doc_id", "one.t")
+    # The text of a class is that of its least row; repeated rows are one.
+    texts = durable(docs.join(used, ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "c"]).select("c", "text"))
 
     def possible(a: str, b: str) -> Column:
         x = lambda name: F.col(f"{a}.{name}")
@@ -168,12 +178,12 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     stars = durable(stars.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
     links = durable(_verified(stars, classes, texts, k, percent))
     parts = connected_components(links, "a", "b")
-    placed = hot.join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    placed = hot.join(classes.select("c", "cells"), "c").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     placed = durable(placed.join(mixed, "token"))
     # The smaller set (ties: the lesser class) needs the shingle early: its intersection with a set as large is larger.
     early = placed.where((F.col("n") - F.col("pos") + F.col("seen")) * (100 + percent) >= F.col("n") * 2 * percent)
-    rest = early.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.struct("x.n", "x.c") < F.struct("y.n", "y.c")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y"))
+    rest = early.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.struct("x.n", "x.c") < F.struct("y.n", "y.c")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y") & _suffix_filter(F.col("x.n"), F.col("y.n"), F.col("x.cells"), F.col("y.cells"), percent))
     rest = rest.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, classes, texts, k, percent))
     parts = durable(connected_components(links, "a", "b"))
@@ -184,21 +194,6 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), members["c"].alias("class_id"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _texts(docs: DataFrame, used: DataFrame, k: int) -> DataFrame:
-    """c and a text of it.  A doc_id may stand for several texts: the one whose set has the signature is kept."""
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = S.set_of((text or "").encode(), k)
-                sums = np.add.reduce(S.mix(h ^ S.ODD)) if len(h) else np.uint64(0)
-                keep.append(int(S.mix(np.array([sums + np.uint64(len(h))], np.uint64)).view(np.int64)[0]) == c)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return docs.join(used, "doc_id").select("c", "text").mapInArrow(own, "c long, text string").dropDuplicates(["c"])
-
-
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each component: the one with its least doc_id.  Empty texts and null ids all stay."""
     found = jaccard_classes(docs, k, percent)
