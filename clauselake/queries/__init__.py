@@ -1,4 +1,6 @@
 """The registered queries and their SQL, by area."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import scores, store, texts
+
+QUERIES: dict = store.QUERIES | texts.QUERIES | scores.QUERIES
+ORACLES: dict = store.ORACLES | texts.ORACLES | scores.ORACLES
