@@ -26,7 +26,7 @@ from .common import discard, durable
 from .components import connected_components
 
 #: Counters of each sketch, and in how many rows a task sends its own; cells of the suffix filter.
-SLOTS, BLOCKS, CELLS = 1 << 20, 16, 32
+SLOTS, BLOCKS, CELLS = 1 << 20, 16, 64
 
 
 def _sketches(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 if len(h):
                     sums[n > 0] = np.add.reduceat(S.mix(h ^ S.ODD), start[n > 0])
                 c = S.mix(sums + n.astype(np.uint64)).view(np.int64)
-                cells = np.bincount(doc * CELLS + (h >> np.uint64(59)).astype(np.int64), minlength=docs_here * CELLS)
+                cells = np.bincount(doc * CELLS + (h >> np.uint64(58)).astype(np.int64), minlength=docs_here * CELLS)
                 cells = np.minimum(cells, 127).astype(np.int8)  # what is cut off makes sets look nearer, never farther
                 taken = np.where(n > 0, n + (-percent * n // 100) + 1, 0)
                 keep = np.arange(len(h)) - start[doc] < taken[doc]
