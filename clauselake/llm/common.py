@@ -38,9 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The same rows read back from Parquet in the shared folder: lineage is cut, and a lost executor costs nothing."""
+    """The same rows read back from Parquet in the shared folder: lineage is cut, and a lost executor costs nothing.
+
+    The shuffles behind them are then of no use.  Spark deletes the files of a shuffle once the driver has collected
+    its plan, by default every half hour; asking for that here keeps the disk from holding all steps' shuffles at once.
+    """
     path = f"{shared_dir(df.sparkSession)}/clauselake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -3,7 +3,7 @@
 The symbols are UTF-8 bytes, so nothing is out of vocabulary and an n-gram of up to seven is an exact integer key.
 Counts come from all trusted documents; lower orders count distinct left neighbours.  Documents are dealt into chunks;
 a chunk asks for its distinct n-grams only, these are joined shard by shard with the counts of each order, and the
-answers go back to the chunk, where documents are scored.  Texts move once.
+answers go back to the chunk, where documents are scored.  Texts move twice: to ask by chunk, and to be scored.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
 
 
-def _tally(texts: DataFrame, n: int, key: str, counts: bool) -> DataFrame:
-    """Distinct n-grams of the texts of each task (and chunk)."""
+def _tally(texts: DataFrame, n: int) -> DataFrame:
+    """Distinct n-grams of the texts of each task and chunk, and how often they occur in trusted ones."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -64,23 +64,23 @@ def _tally(texts: DataFrame, n: int, key: str, counts: bool) -> DataFrame:
                 u, k = _summed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
                 for i in range(0, len(u), 200_000):
                     m = len(u[i : i + 200_000])
-                    columns = [pa.array(np.full(m, c)), pa.array(u[i : i + m])] + ([pa.array(k[i : i + m])] if counts else [])
-                    yield pa.RecordBatch.from_arrays(columns, names=["chunk", "gram", "n"][: len(columns)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, c)), pa.array(u[i : i + m]), pa.array(k[i : i + m])], names=["chunk", "gram", "n"])
             held.clear()
 
         for b in batches:
             chunk = b.column(0).to_numpy(zero_copy_only=False)
-            for c in np.unique(chunk):
-                u, k = _counted(b.column(1).filter(pa.array(chunk == c)), n)
-                held.setdefault(int(c), []).append((u, k))
-                if len(held[int(c)]) >= 8:
-                    parts = held[int(c)]
-                    held[int(c)] = [_summed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))]
+            good = b.column(1).to_numpy(zero_copy_only=False)
+            for c, g in {(int(c), bool(g)) for c, g in zip(chunk, good)}:
+                u, k = _counted(b.column(2).filter(pa.array((chunk == c) & (good == g))), n)
+                held.setdefault(c, []).append((u, k if g else 0 * k))
+                if len(held[c]) >= 8:
+                    parts = held[c]
+                    held[c] = [_summed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))]
             if sum(len(p[0]) for ps in held.values() for p in ps) > 4_000_000:
                 yield from flush()
         yield from flush()
 
-    return texts.select(key, "text").mapInArrow(of, "chunk long, gram long" + (", n long" if counts else ""))
+    return texts.select("chunk", "trusted", "text").mapInArrow(of, "chunk long, gram long, n long")
 
 
 def _discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -116,19 +116,24 @@ def _log_p(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     return p.select("gram", F.log("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: Column, order: int = ORDER) -> DataFrame:
-    """`docs` (id, text and others) with perplexity: exp of the mean negative log-probability per byte; null without text.
+def perplexities(docs: DataFrame, trusted: Column, order: int = ORDER, labels: DataFrame | None = None) -> DataFrame:
+    """`docs` (doc_id, text and others) with perplexity: exp of the mean negative log-probability per byte; null without text.
 
-    `trusted` marks the rows that the model is trained on, all of them.
+    `trusted` marks the rows that the model is trained on, all of them; it may name columns of `labels` (one row per
+    doc_id), too.  Rows of one doc_id share a chunk.
     """
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-bytes_ // CHUNK_BYTES))
+    chunk = F.pmod(F.hash("doc_id"), F.lit(chunks)).cast("long")
+    # A chunk is a partition by doc_id: labels join, and n-grams are told apart, where the text lies.
+    near = docs.repartition(chunks, "doc_id")
+    near = near if labels is None else near.join(labels.repartition(chunks, "doc_id"), "doc_id", "left")
+    tally = _tally(near.where("text is not null").select(chunk.alias("chunk"), F.coalesce(trusted, F.lit(False)).alias("trusted"), "text"), order)
+    asked = durable(tally.groupBy("chunk", "gram").agg(F.sum("n").alias("n")))
+    counts = durable(asked.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
     keep = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*keep).alias("doc"), trusted.alias("trusted"), "text").withColumn("chunk", F.pmod(F.xxhash64("text", "doc"), F.lit(chunks)))
-    trained = rows.where(F.coalesce("trusted", F.lit(False)) & F.col("text").isNotNull()).withColumn("one", F.lit(0).cast("long"))
-    counts = durable(_tally(trained, order, "one", True).groupBy("gram").agg(F.sum("n").alias("n")))
+    rows = docs.select(F.struct(*keep).alias("doc"), "text", chunk.alias("chunk"))
     dealt = rows.repartition(chunks, "chunk")
-    asked = durable(_tally(dealt.where("text is not null"), order, "chunk", False).distinct())
     logp = _log_p(asked.select("gram").distinct(), counts, order)
     answers = asked.join(logp, "gram").select("chunk", "gram", "logp")
 
@@ -147,16 +152,22 @@ def perplexities(docs: DataFrame, trusted: Column, order: int = ORDER) -> DataFr
     return scored.select("doc.*", F.when(~F.isnan("perplexity"), F.col("perplexity")).alias("perplexity"))
 
 
-def judged(docs: DataFrame, trusted: Column, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, perplexity, threshold, kept of each row of `docs` (doc_id, lang, text and what `trusted` needs).
+def judged(docs: DataFrame, trusted: Column, order: int = ORDER, quantile: float = QUANTILE, labels: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, perplexity, threshold, kept of each row of `docs` (doc_id, lang, text).
+
+    `trusted` is a column of `docs`, or of `labels` (one row per doc_id) where these are given.
 
     A language's threshold is the `quantile` of perplexity of the trusted documents that were kept from training (by
     a hash of the text, so that copies stay together); without any, or with a null language, that of all languages;
     without those, none, and all stay.  A null or empty text has no
     perplexity and isn't kept.  Repeated rows are each judged; an empty table gives an empty one.
     """
-    marked = docs.select("doc_id", "lang", "text", F.coalesce(trusted, F.lit(False)).alias("trusted"), (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0).alias("out"))
-    rows = durable(perplexities(marked, F.col("trusted") & ~F.col("out"), order))
+    good = F.coalesce(trusted, F.lit(False)).alias("trusted")
+    out = (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0).alias("out")
+    marks = None if labels is None else labels.select("doc_id", good)
+    marked = docs.select("doc_id", "lang", "text", out, *([good] if labels is None else []))
+    rows = durable(perplexities(marked, F.col("trusted") & ~F.col("out"), order, marks))
+    rows = rows if marks is None else rows.join(marks, "doc_id", "left")
     good = rows.where("trusted and out and perplexity is not null")
     level = F.percentile_approx("perplexity", quantile, 10_000)
     every = good.agg(level).first()[0]

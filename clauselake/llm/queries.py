@@ -44,8 +44,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text").join(labels, "doc_id", "left")
-    return quality_lm.judged(docs, F.col("quality") == 1)
+    return quality_lm.judged(table(spark, sf_dir, "documents"), F.col("quality") == 1, labels=labels)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
