@@ -1,11 +1,15 @@
 """Secret scans: patterns, and a battery of randomness tests.
 
-Pattern spans come from regular expressions.  Other long tokens get an inferred encoding (the smallest alphabet that
-covers them) and, against uniform random symbols of that alphabet, three tests: chi-squared uniformity, runs above and
-below the middle, and serial correlation at lag one; the battery's p-value is three times the least of the three.
+Pattern spans come from regular expressions.  Other long tokens are cut at an inner '=' and, for each of three alphabets
+(base64, base64url, letters and digits), at the separators foreign to it.  Each piece gets an inferred encoding (the
+smallest alphabet that covers it) and, against uniform random symbols of that alphabet, three tests: chi-squared
+uniformity, runs above and below the middle, and serial correlation at lag one; the battery's p-value is three times the
+least of the three.  Pieces of letters of one case can be plain words, so these have a fourth test, of the share of
+letters that are common in words, and four times the least.
 Random tokens have p spread evenly over 0 to 1, structured ones have p near 0.  So for each encoding and class of
 lengths the counts of p above one half tell how many random tokens there are, and the least threshold is taken whose
-estimated share of structured tokens among those that pass stays below `fdr`.  Only DataFrame functions are used, and
+estimated share of structured tokens among those that pass stays below `fdr`.  Classes of fewer than FEW tokens are no
+ground for an estimate: there P_FEW is the threshold.  Of nested pieces that pass, the longest counts.  Only DataFrame functions are used, and
 no row is shuffled: the counts (a few hundred) are the only thing gathered.
 """
 
@@ -27,19 +31,28 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 TOKEN = 20
 TOKENS = "[A-Za-z0-9+/_=-]{%d,}" % TOKEN
 P_BINS, FDR = 40, 0.05
+#: With fewer tokens, the estimated number of random ones is off by more than about FDR (its relative deviation is 0.85 over the root of their number).
+FEW, P_FEW = 400, 0.05
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: About three quarters of the letters of words in the languages at hand.
+COMMON = "enirtsaohlc"
 #: Name, pattern, alphabet; the first that fits is inferred.
 ENCODINGS = (
     ("decimal", "[0-9]+", DIGITS),
     ("hex", "[0-9a-f]+|[0-9A-F]+", DIGITS + "abcdef"),
+    ("lower", "[a-z]+", LOWER),
+    ("upper", "[A-Z]+", UPPER),
     ("base32", "[A-Z2-7]+=*", UPPER + "234567"),
     ("base36", "[a-z0-9]+|[A-Z0-9]+", DIGITS + LOWER),
     ("base62", "[A-Za-z0-9]+", DIGITS + UPPER + LOWER),
     ("base64", "[A-Za-z0-9+/]+=*", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", "[A-Za-z0-9_-]+=*", UPPER + LOWER + DIGITS + "-_"),
 )
+CODES = {name: i for i, (name, _, _) in enumerate(ENCODINGS)}
+#: Pieces of a token, by alphabet: a run of its symbols, and padding where nothing of the token follows.
+PIECES = tuple(f"(?=[{symbols}=]{{{TOKEN}}})[{symbols}]+(?:=+(?![A-Za-z0-9+/_=-]))?" for symbols in ("A-Za-z0-9+/", "A-Za-z0-9_\\-", "A-Za-z0-9"))
 
 
 def _found(text: Column, pattern: str, kind: int, groups: int, value: int | None, least: int) -> Column:
@@ -85,6 +98,7 @@ def encoding(token: Column) -> Column:
 def p_value(token: Column, code: Column) -> Column:
     """The battery's p-value under uniform random symbols; 0 where the symbols don't vary."""
     alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
+    letters = code.isin(CODES["lower"], CODES["upper"])
 
     def battery(v: Column, k: Column) -> Column:
         n = F.size(v).cast("double")
@@ -100,11 +114,16 @@ def p_value(token: Column, code: Column) -> Column:
         spread = lambda m: total(F.transform(v, lambda x: (x - m) * (x - m)), F.lit(0.0))
         along = lambda m: total(F.transform(steps, lambda x, i: (x - m) * (F.get(v, i) - m)), F.lit(0.0))
         serial = let(mean, lambda m: F.abs(along(m) / F.greatest(spread(m), F.lit(1e-9)) * F.sqrt(n)))
-        return F.when(F.size(F.array_distinct(v)) < 3, 0.0).otherwise(F.least(F.lit(1.0), 3 * F.least(_tail(chi), 2 * _tail(runs), 2 * _tail(serial))))
+        common = total(F.transform(v, lambda x: F.when(x.isin(*[LOWER.index(c) for c in COMMON]), 1.0).otherwise(0.0)), F.lit(0.0))
+        q = len(COMMON) / 26
+        wordy = (common - n * q) / F.sqrt(n * (q * (1 - q)))
+        least = F.least(_tail(chi), 2 * _tail(runs), 2 * _tail(serial))
+        p = F.when(letters, 4 * F.least(least, _tail(wordy))).otherwise(3 * least)
+        return F.when(F.size(F.array_distinct(v)) < 3, 0.0).otherwise(F.least(F.lit(1.0), p))
 
     def on(alphabet: Column) -> Column:
         plain = F.regexp_replace(token, "=+$", "")
-        cased = F.when(code == 1, F.lower(plain)).when(code == 3, F.lower(plain)).otherwise(plain)
+        cased = F.when(code.isin(CODES["hex"], CODES["base36"]), F.lower(plain)).otherwise(plain)
         symbols = F.transform(F.filter(F.split(cased, ""), lambda c: c != ""), lambda c: F.position(c, alphabet) - 1)
         return let(symbols, lambda v: battery(v, F.length(alphabet).cast("double")))
 
@@ -116,11 +135,9 @@ def length_class(n: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Long tokens with at least two kinds of characters: start, end, code, class, p."""
-    spans = F.when(text.rlike(TOKENS), _found(text, TOKENS, 3, 0, None, TOKEN)).otherwise(_none())
+    """Long pieces of long tokens, each once: start, end, code, class, p."""
+    spans = F.when(text.rlike(TOKENS), F.array_distinct(F.concat(*[_found(text, p, 3, 0, None, TOKEN) for p in PIECES]))).otherwise(_none())
     tokens = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("token")))
-    kinds = lambda t: sum(t.rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]"))
-    tokens = F.filter(tokens, lambda t: kinds(t["token"]) >= 2)
     coded = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), encoding(t["token"]).alias("code")))
     return F.transform(
         coded,
@@ -128,13 +145,13 @@ def _candidates(text: Column) -> Column:
     )
 
 
-def above(x: float) -> float:
-    """Share of random tokens whose p is above x: of three even p-values, three times the least is."""
-    return (1 - x / 3) ** 3
+def above(x: float, tests: int = 3) -> float:
+    """Share of random tokens whose p is above x: of three even p-values, three times the least is (of four, four times)."""
+    return (1 - x / tests) ** tests
 
 
 def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[tuple[int, int], float]:
-    """Least p that passes, for each encoding and length class; counts over all documents, at most 7 x 13 x P_BINS rows."""
+    """Least p that passes, for each encoding and length class; counts over all documents, at most 9 x 13 x P_BINS rows."""
     text = F.coalesce(docs[text_col], F.lit(""))
     tokens = docs.select(text.alias("_text")).where(F.col("_text").rlike(TOKENS)).select(F.explode(_candidates(F.col("_text"))).alias("t")).where("t.code >= 0")
     cell = F.least(F.floor(F.col("t.p") * P_BINS), F.lit(P_BINS - 1)).cast("int")
@@ -143,10 +160,14 @@ def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dic
         counts.setdefault((r["code"], r["len"]), [0] * P_BINS)[r["cell"]] = r["count"]
     out = {}
     for key, cells in counts.items():
-        random = sum(cells[P_BINS // 2 :]) / above(0.5)
+        if sum(cells) < FEW:
+            out[key] = P_FEW
+            continue
+        tests = 4 if key[0] in (CODES["lower"], CODES["upper"]) else 3
+        random = sum(cells[P_BINS // 2 :]) / above(0.5, tests)
         for i in range(1, P_BINS // 2 + 1):
             passing = sum(cells[i:])
-            expected = random * above(i / P_BINS)
+            expected = random * above(i / P_BINS, tests)
             if passing and 1 - expected / passing <= fdr:
                 out[key] = i / P_BINS
                 break
@@ -156,7 +177,7 @@ def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dic
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """The `keep` columns with `spans`: array of (start, kind, end) by start, then kind; code points, end exclusive; kind indexes KINDS.
 
-    Pattern spans always stay; a random token is added where it overlaps none of them.  A null text is empty and has
+    Pattern spans always stay; a random token is added where it overlaps none of them and lies in no longer one.  A null text is empty and has
     no spans; an empty table gives an empty one; repeated rows each get theirs.
     """
     passing = thresholds(docs, text_col, fdr)
@@ -166,7 +187,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "
     def added(base: Column, t: Column) -> Column:
         passes = lambda c: F.coalesce(c["p"] >= F.try_element_at(least, 100 * c["code"] + c["len"]), F.lit(False))
         clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        found = F.filter(_candidates(t), lambda c: passes(c) & clear(c))
+        inside = lambda c, d: (d["start"] <= c["start"]) & (c["end"] <= d["end"]) & (d["end"] - d["start"] > c["end"] - c["start"])
+        found = let(F.filter(_candidates(t), lambda c: passes(c) & clear(c)), lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda d: inside(c, d))))
         return F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
 
     spans = let(base_spans(text), lambda b: F.array_sort(F.concat(b, added(b, text)))) if least is not None else base_spans(text)
