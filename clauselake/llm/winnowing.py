@@ -1,7 +1,8 @@
 """Winnowing fingerprints, and their likeness between documents.
 
 Words are hashed in grams of K; of each window of W grams the least hash is kept, the rightmost of equals, with its
-position.  So any run of W + K - 1 words that two texts share leaves a common fingerprint.  Window minima come from
+position.  So any run of W + K - 1 words (three) that two texts share leaves a common fingerprint.  In scripts without
+spaces, and in words of more than LONG code points, each run of PIECE code points takes the place of a word.  Window minima come from
 log2(W) element-wise minima of shifted arrays, all in DataFrame functions.
 """
 
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 
 from .native import indices, let, words
 
-K, W = 5, 16
+K, W = 2, 2
+LONG, PIECE = 64, 3
+#: What is written without spaces: Han, kana, Thai, Lao, Khmer, Burmese.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Documents of a bucket on average, and buckets at most: a table of bucket heads may therefore be broadcast.
 BUCKET_ROWS, MOST_BUCKETS, QUANTILES = 1000, 65_536, 256
 
@@ -22,10 +26,19 @@ def _least_with(values: Column, step: int) -> Column:
     return let(values, lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + step))))
 
 
+def units(text: Column) -> Column:
+    """The words of a text; of one without spaces inside, all its runs of PIECE code points."""
+    runs = lambda cs: F.transform(indices(F.size(cs) - (PIECE - 1)), lambda i: F.concat(*[F.get(cs, i + j) for j in range(PIECE)]))
+    whole = lambda w: (F.length(w) < PIECE) | ~((F.length(w) > LONG) | w.rlike(UNSPACED))
+    cut = lambda w: F.when(whole(w), F.array(w)).otherwise(let(F.filter(F.split(w, ""), lambda c: c != ""), runs))
+    some = text.rlike(r"%s|[^\x20\x09-\x0D]{%d}" % (UNSPACED, LONG + 1))
+    return F.when(some, F.flatten(F.transform(words(text), cut))).otherwise(words(text))
+
+
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
     """array<struct<hash: long, pos: int>> by position; w is a power of two.
 
-    Fewer than k words: the whole sequence is one gram; no words or a null text: no fingerprint.  Fewer grams than w:
+    Fewer than k words (or units): the whole sequence is one gram; no words or a null text: no fingerprint.  Fewer grams than w:
     one window.
     """
     if w & (w - 1) or w < 1:
@@ -47,7 +60,7 @@ def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
         pos = F.transform(F.array_distinct(least), lambda v: (F.lit(last) - v.bitwiseAND(F.lit(last))).cast("int"))
         return F.transform(pos, lambda p: F.named_struct(F.lit("hash"), gram(ws, p), F.lit("pos"), p))
 
-    return let(words(text), of)
+    return let(units(text), of)
 
 
 def written(marks: Column) -> Column:
@@ -92,9 +105,11 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = docs.withColumn("bucket", bucket).join(F.broadcast(heads.select(F.col("bucket").alias("_b"), F.col("id").alias("_head"), "to")), F.col("id").eqNullSafe(F.col("_head")) & (F.col("bucket") == F.col("_b")), "left")
     place = lambda extra, bucket: F.named_struct(F.lit("extra"), F.lit(extra), F.lit("bucket"), F.col(bucket))
     places = F.array_compact(F.array(place(0, "bucket"), F.when(F.col("to").isNotNull(), place(1, "to"))))
-    rows = rows.select("id", "text", fingerprint(F.col("text")).alias("fp"), places.alias("places")).select("id", "text", "fp", F.explode("places").alias("at"))
-    order = Window.partitionBy("at.bucket").orderBy("at.extra", F.desc_nulls_last("id"), F.xxhash64("text"))
-    return rows.select("id", "text", "fp", "at", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).where("at.extra = 0").drop("at")
+    rows = rows.select("id", "text", places.alias("places")).select("id", "text", F.explode("places").alias("at")).select("id", "text", "at.bucket", "at.extra")
+    # Fingerprints are made where the texts arrive, as they take more room than the words they are of.
+    rows = rows.repartition("bucket").withColumn("fp", fingerprint(F.col("text")))
+    order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("id"), F.xxhash64("text"))
+    return rows.select("id", "text", "fp", "extra", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).where("extra = 0").drop("extra")
 
 
 def edited(text: Column, next_text: Column) -> Column:
