@@ -142,18 +142,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     return whole.mapInArrow(compare, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, class_id and component_id of each row of `docs` (doc_id, text).
-
-    class_id marks equal sets, component_id is the least doc_id reachable over links of `percent` / 100 or more.
-    A null or empty text has an empty set and is linked with nothing: its component is itself.  Repeated rows are
-    copies.  A row with a null doc_id is in the class of its equals, names no component (null where it has no other)
-    and otherwise links with nothing.  Columns but doc_id and text don't matter; an empty table gives an empty one.
-    Sets and shingles are told apart by 64-bit hashes.
-    """
+def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of each row of `docs`: doc_id, t (a hash of its text), n (size of its set), c (its class); of each class with an id: c, one (its least doc_id and t), least (that id), component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
     sets = durable(_sets(docs, k, percent))
-    members = durable(sets.select("doc_id", "n", "c"))
+    members = durable(sets.select("doc_id", "t", "n", "c"))
     one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
     grouped = sets.where("n > 0").groupBy("c").agg(one.alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")).where("one is not null")
     classes = durable(grouped.select("c", "one", F.col("one.doc_id").alias("least"), "n", "cells"))
@@ -187,16 +180,47 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     rest = rest.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(_verified(rest, classes, texts, k, percent))
     parts = durable(connected_components(links, "a", "b"))
-    named = classes.select("c", "least").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    return members, classes.select("c", "one", "least").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+
+def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of each row of `docs` (doc_id, text).
+
+    class_id marks equal sets, component_id is the least doc_id reachable over links of `percent` / 100 or more.
+    A null or empty text has an empty set and is linked with nothing: its component is itself.  Repeated rows are
+    copies.  A row with a null doc_id is in the class of its equals, names no component (null where it has no other)
+    and otherwise links with nothing.  Columns but doc_id and text don't matter; an empty table gives an empty one.
+    Sets and shingles are told apart by 64-bit hashes.
+    """
+    members, named = _linked(docs, k, percent)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = named.join(ids, "component").select("c", "component_id")
     out = members.join(by_class, (members["c"] == by_class["c"]) & (members["n"] > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), members["c"].alias("class_id"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+#: Stands for a null doc_id where rows are told apart by id and text: it sorts last.
+NO_ID = 2**63 - 1
+
+
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one document of each component: the one with its least doc_id.  Empty texts and null ids all stay."""
-    found = jaccard_classes(docs, k, percent)
-    gone = found.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+    """`docs` with exactly one row of each component: that of its least doc_id (nulls last), then text hash.
+
+    Rows are told apart by doc_id and text, so two texts with one id are two documents, and a repeated row is one.  A
+    row with a null id is linked as any other.  Empty texts are linked with nothing: they all stay, but repeated rows
+    with an id count once.  Of repeated rows that differ in other columns, the one with the least hash stays.
+    """
+    key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("t")]
+    members, named = _linked(docs.select(key[0], docs["text"]), k, percent)
+    first = named.groupBy("component").agg(F.min("one").alias("one")).select("one.*")
+    gone = durable(members.where("n > 0").select("doc_id", "t").distinct().join(first, ["doc_id", "t"], "left_anti"))
+    repeated = members.where((F.col("n") > 0) | (F.col("doc_id") != NO_ID)).groupBy("doc_id", "t").count().where("count > 1")
+    repeated = durable(repeated.select("doc_id", "t").join(gone, ["doc_id", "t"], "left_anti"))
+    rows = docs.select(*key, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = rows.join(gone.unionByName(repeated), ["doc_id", "t"], "left_anti")
+    if not repeated.isEmpty():
+        # Each task first drops all but one row of a key, so a row repeated everywhere is moved once a task.
+        order = Window.partitionBy("doc_id", "t").orderBy("h")
+        once = rows.join(repeated, ["doc_id", "t"], "left_semi").withColumn("h", F.xxhash64("row"))
+        kept = kept.unionByName(once.withColumn("at", F.row_number().over(order)).where("at = 1").select("doc_id", "t", "row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
