@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,50 +27,87 @@ def word_count(text: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares, from spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        shared = spark.sparkContext.getCheckpointDir()
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="clauselake-")
-        spark.sparkContext.setCheckpointDir(shared)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clauselake-"))
         shared = spark.sparkContext.getCheckpointDir()
     return shared
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting holds inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+#: Deletes the files of a job's shuffles when it ends: its rows are in a table then.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables written inside each `scratch` that is open, innermost last.
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted with the innermost open `scratch`."""
+    path = f"{shared_dir(spark)}/clauselake-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows read back from Parquet in the shared folder: lineage is cut, and a lost executor costs nothing.
 
-    The shuffles behind them are then of no use.  Spark deletes the files of a shuffle once the driver has collected
-    its plan, by default every half hour; asking for that here keeps the disk from holding all steps' shuffles at once.
+    The shuffles behind them are then of no use, and their files are deleted.
     """
-    path = f"{shared_dir(df.sparkSession)}/clauselake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession)
+    with setting(spark, FREE_SHUFFLES, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that `durable` wrote; nothing may read it any more."""
-    jvm = df.sparkSession._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `durable` wrote; nothing may read them any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
 
 
 @contextmanager
-def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
-    """Jobs run inside send batches of about `most` bytes to Python: long texts otherwise make batches of any size."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(most))
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `durable` writes inside are deleted at the end, but for those passed through the function that this gives."""
+    kept: list[DataFrame] = []
+    _open.append([])
     try:
-        yield
+        yield lambda df: kept.append(df) or df
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        mine, stay = _open.pop(), {df.stored_at for df in kept}
+        for path in mine:
+            if path not in stay:
+                _delete(spark, path)
+        if _open:
+            _open[-1].extend(stay)
+
+
+def arrow_bytes(spark: SparkSession, most: int):
+    """Jobs run inside send batches of about `most` bytes to Python: long texts otherwise make batches of any size."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def buckets_for(rows: int, each: int) -> int:

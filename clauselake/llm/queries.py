@@ -24,7 +24,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), 400).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    rows = suffix_dedup.dedup(table(spark, sf_dir, "documents"), 400)
+    # A cut may fall inside a character: what is left of one is written as U+FFFD in `text`, which is the kept text to read.
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("removed"), spans.alias("removed_spans"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 #: The rules of op4.

@@ -1,16 +1,20 @@
 """A run-length index of a bounded set of byte blocks, with numpy.
 
-The Burrows-Wheeler transform of the blocks is kept as its runs.  Where a run begins, the text position and the length
-of the match with the suffix before it are sampled; where one ends, the same with the suffix after it.  Inside a run a
-match only loses its first byte from one position to the next, so streaming over the text from sample to sample gives,
-at each position, the length of its longest match elsewhere: its matching statistic.
+What is kept of the blocks' Burrows-Wheeler transform is its runs: the symbol of each, how often it stands there, the
+text positions of its first and last row, and the length of the match across each border between two runs.  Inside a
+run a match only loses its first byte from one text position to the next, so streaming over the text from sampled end
+to sampled end gives, at each position, the length of its longest match elsewhere: its matching statistic.
+
+A block that occurs several times is sorted once.  Its copies would stand right beside it in every row and lengthen
+runs; only the rows of the blocks' beginnings, before which nothing stands, would be runs of their own, with a match
+of the whole block across their border.  Lengths and samples say just that.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .anchors import BASE, Powers
+from .anchors import Powers
 from .shingles import mix
 
 #: Symbols in a 63-bit word: 9 bits each, 0 closes a block.
@@ -48,7 +52,9 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class RunIndex:
-    def __init__(self, blocks: list[bytes]):
+    """`blocks` differ from each other; `times` says how often each occurs."""
+
+    def __init__(self, blocks: list[bytes], times: np.ndarray):
         sizes = np.array([len(b) for b in blocks], np.int64)
         self.first = np.cumsum(sizes + 1) - sizes - 1
         raw = np.frombuffer(b"\0".join(blocks) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
@@ -60,21 +66,22 @@ class RunIndex:
         starts = np.zeros(self.n, bool)
         starts[self.first] = True
         before[starts[order]] = -1 - np.arange(int(starts.sum()))  # nothing stands before a block: a run of its own
-        edge = np.flatnonzero(before[1:] != before[:-1]) + 1  # rank of each run's first row but the first run's
-        self.runs = len(edge) + 1
-        self.__hash(raw)
-        upper, lower = order[edge - 1], order[edge]
-        match = self.__match(upper, lower)
-        # Samples of run starts (lower with upper) and of run ends (upper with lower).
-        self.samples = np.concatenate([lower, upper]), np.concatenate([match, match])
+        head = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        tail = np.append(head[1:], self.n) - 1
+        self.symbol = before[head]
+        self.length = np.add.reduceat(np.repeat(times, sizes + 1)[order], head)
+        self.head, self.tail = order[head], order[tail]
+        self._hash(raw)
+        self.border = self._match(self.tail[:-1], self.head[1:])
+        # The beginnings of blocks that occur again.
+        self.again = self.first[times > 1], sizes[times > 1]
 
-    def __hash(self, raw: np.ndarray) -> None:
+    def _hash(self, raw: np.ndarray) -> None:
         self.up, self.down = Powers().upto(self.n + 1)
         self.prefix = np.append(np.uint64(0), np.cumsum(mix(raw.astype(np.uint64) + np.uint64(7)) * self.up[: self.n]))
         self.rest = self.ends[np.searchsorted(self.ends, np.arange(self.n))] - np.arange(self.n)
-        assert BASE % np.uint64(2) == 1
 
-    def __match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common length of the suffixes at a and b inside their blocks, by bisection on hashes."""
         low, high = np.zeros(len(a), np.int64), np.minimum(self.rest[a], self.rest[b])
         while (open_ := np.flatnonzero(low < high)).size:
@@ -86,13 +93,12 @@ class RunIndex:
     def statistics(self) -> np.ndarray:
         """At each position, the length of its longest match that starts anywhere else."""
         reach = np.zeros(self.n, np.int64)
-        at, match = self.samples
-        np.maximum.at(reach, at, at + match)
+        at = np.concatenate([self.head[1:], self.tail[:-1], self.again[0]])
+        np.maximum.at(reach, at, at + np.concatenate([self.border, self.border, self.again[1]]))
         return np.maximum.accumulate(reach) - np.arange(self.n)
 
     def long_matches(self, length: int) -> list[np.ndarray]:
         """For each block, where matches of `length` or more start in it."""
         found = np.flatnonzero(self.statistics() >= length)
-        block = np.searchsorted(self.ends, found)
-        cuts = np.searchsorted(block, np.arange(len(self.first) + 1))
+        cuts = np.searchsorted(np.searchsorted(self.ends, found), np.arange(len(self.first) + 1))
         return [found[x:y] - f for x, y, f in zip(cuts, cuts[1:], self.first, strict=False)]
