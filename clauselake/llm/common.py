@@ -83,6 +83,19 @@ def durable(df: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """`durable`, dealt into files by a hash of `key`: what is grouped or joined by it then moves the other side only."""
+    spark, path = df.sparkSession, new_path(df.sparkSession)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    with setting(spark, FREE_SHUFFLES, "true"):
+        df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    # The files stay, and `out` knows how they are dealt; the catalog need not.
+    spark.sql(f"drop table {name}")
+    out.stored_at = path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that `durable` wrote; nothing may read them any more."""
     for df in tables:

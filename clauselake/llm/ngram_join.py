@@ -2,7 +2,7 @@
 
 A document is its set of word shingles.  Equal sets form a class, so exact copies cost one row.  Shingles are put in
 one order for all documents, rarest first: by how common the shingle is, then its words, as two count sketches of the
-whole corpus tell (of fixed size, so that they may be broadcast; their error changes the order, never the result),
+whole corpus tell (added up in two steps, and of fixed size, so that they may be broadcast; their error changes the order, never the result),
 then by hash.  Two sets of the wanted similarity share a shingle among the first n - ceil(t n) + 1 of each.
 
 Links are wanted for what they connect, and a group of near copies may hold a third of all rows.  So each prefix shingle
@@ -13,20 +13,23 @@ different components so far go through the same filters, and the rest of them ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import discard, durable
+from .common import arrow_bytes, discard, durable
 from .components import connected_components
 
-#: Counters of each sketch, and in how many rows a task sends its own; cells of the suffix filter.
-SLOTS, BLOCKS, CELLS = 1 << 20, 16, 64
+#: Counters of each sketch, in how many rows a task sends its own, and into how many rows of each of these they are first added up.
+SLOTS, BLOCKS, FAN = 1 << 20, 16, 8
+#: Cells of the suffix filter; bytes of texts sent to Python at once.
+CELLS, BATCH_BYTES = 64, 16_000_000
 
 
 def _sketches(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,19 +42,28 @@ def _sketches(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 w = S.words(data, at)
                 both[0] += np.bincount((w.hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
                 both[1] += np.bincount((S.shingles(w, k)[0] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        blocks = both.reshape(2 * BLOCKS, -1).astype("<u4")
-        yield pa.RecordBatch.from_arrays([pa.array(range(2 * BLOCKS), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "counts"])
+        yield from rows(enumerate(both.reshape(2 * BLOCKS, -1)), TaskContext.get().partitionId() % FAN)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, counts in zip(b["block"], b["counts"]):
-                total[block] = total.get(block, 0) + np.frombuffer(counts, "<u4" if len(counts) == 4 * SLOTS // BLOCKS else "<i8").astype(np.int64)
-        yield pd.DataFrame({"block": list(total), "counts": [x.tobytes() for x in total.values()]}, columns=["block", "counts"])
+    def rows(totals: Iterable[tuple[int, np.ndarray]], part: int) -> Iterator[pa.RecordBatch]:
+        for block, x in totals:
+            packed = zstandard.compress(x.astype("<i8").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["block", "part", "counts"])
 
-    per_task = docs.select("text").mapInArrow(count, "block int, counts binary")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for block, part, counts in zip(*[c.to_pylist() for c in b.columns]):
+                x = np.frombuffer(zstandard.decompress(counts), "<i8")
+                total[block, part] = total[block, part] + x if (block, part) in total else x
+        for (block, part), x in total.items():
+            yield from rows([(block, x)], part)
+
+    kind = "block int, part int, counts binary"
+    per_task = docs.select("text").mapInArrow(count, kind)
+    # Counters are added up by block and part, then by block.
+    parts = per_task.repartition("block", "part").mapInArrow(add, kind).withColumn("part", F.lit(0))
     # 2 * BLOCKS rows of 8 bytes a counter reach the driver, whatever the corpus.
-    summed = {r["block"]: np.frombuffer(r["counts"], "<i8") for r in per_task.repartition(2 * BLOCKS, "block").mapInPandas(add, "block int, counts binary").collect()}
+    summed = {r["block"]: np.frombuffer(zstandard.decompress(r["counts"]), "<i8") for r in parts.repartition("block").mapInArrow(add, kind).collect()}
     out = []
     for first in (0, BLOCKS):
         c = np.concatenate([summed.get(i, np.zeros(SLOTS // BLOCKS, np.int64)) for i in range(first, first + BLOCKS)])
@@ -59,7 +71,7 @@ def _sketches(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-SETS = "doc_id long, t long, n long, c long, prefix array<long>, cells array<tinyint>"
+SETS = "doc_id long, t long, n long, c binary, prefix array<long>, cells array<tinyint>"
 
 
 def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -83,17 +95,18 @@ def _sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 h, doc = h[u], doc[u]
                 n = np.bincount(doc, minlength=docs_here)
                 start = np.cumsum(n) - n
-                sums = np.zeros(docs_here, np.uint64)
+                sums = np.zeros((docs_here, 2), np.uint64)  # 128 bits tell sets apart
                 if len(h):
-                    sums[n > 0] = np.add.reduceat(S.mix(h ^ S.ODD), start[n > 0])
-                c = S.mix(sums + n.astype(np.uint64)).view(np.int64)
+                    sums[n > 0, 0] = np.add.reduceat(S.mix(h ^ S.ODD), start[n > 0])
+                    sums[n > 0, 1] = np.add.reduceat(S.mix(S.mix(h) + S.ODD), start[n > 0])
+                c = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), docs_here, [None, pa.py_buffer(S.mix(sums + n.astype(np.uint64)[:, None]).tobytes())]).cast(pa.binary())
                 cells = np.bincount(doc * CELLS + (h >> np.uint64(58)).astype(np.int64), minlength=docs_here * CELLS)
                 cells = np.minimum(cells, 127).astype(np.int8)  # what is cut off makes sets look nearer, never farther
                 taken = np.where(n > 0, n + (-percent * n // 100) + 1, 0)
                 keep = np.arange(len(h)) - start[doc] < taken[doc]
                 lists = lambda flat, size: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(row, docs_here), b.column(1).slice(row, docs_here), pa.array(n, pa.int64()), pa.array(c), lists(pa.array(h[keep].view(np.int64)), taken), lists(pa.array(cells), np.full(docs_here, CELLS))],
+                    [b.column(0).slice(row, docs_here), b.column(1).slice(row, docs_here), pa.array(n, pa.int64()), c, lists(pa.array(h[keep].view(np.int64)), taken), lists(pa.array(cells), np.full(docs_here, CELLS))],
                     names=["doc_id", "t", "n", "c", "prefix", "cells"],
                 )
 
@@ -122,7 +135,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known: dict[int, np.ndarray] = {}
+            known: dict[bytes, np.ndarray] = {}
 
             def of(i: int, name: int, text: int) -> np.ndarray:
                 c = b.column(name)[i].as_py()
@@ -139,7 +152,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
                 linked.append(100 * same >= percent * (len(x) + len(y) - same))
             yield b.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return whole.mapInArrow(compare, "a long, b long")
+    return whole.mapInArrow(compare, "a binary, b binary")
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -148,14 +161,16 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     sets = durable(_sets(docs, k, percent))
     members = durable(sets.select("doc_id", "t", "n", "c"))
     one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
-    grouped = sets.where("n > 0").groupBy("c").agg(one.alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")).where("one is not null")
+    grouped = durable(sets.where("n > 0").groupBy("c").agg(one.alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")).where("one is not null"))
+    discard(sets)
     classes = durable(grouped.select("c", "one", F.col("one.doc_id").alias("least"), "n", "cells"))
-    rows = grouped.select("c", "n", F.posexplode("prefix").alias("pos", "token"))
+    rows = grouped.select("c", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("token")
     # Shingles of one class alone can't be common: `seen` counts the others before.
+    shared = durable(shared)
     hot = rows.join(shared, "token")
     hot = durable(hot.withColumn("seen", F.row_number().over(Window.partitionBy("c").orderBy("pos")) - 1))
-    discard(sets)
+    discard(grouped, shared)
     used = classes.join(hot.select("c").distinct(), "c", "left_semi").select("c", "one.doc_id", "one.t")
     # The text of a class is that of its least row; repeated rows are one.
     texts = durable(docs.join(used, ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "c"]).select("c", "text"))
@@ -169,17 +184,21 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     centre = hot.groupBy("token").agg(F.min(F.struct("pos", "n", "c", "seen")).alias("at")).select("token", "at.*")
     stars = hot.alias("x").join(centre.alias("y"), "token").where((F.col("x.c") != F.col("y.c")) & possible("x", "y"))
     stars = durable(stars.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
-    links = durable(_verified(stars, classes, texts, k, percent))
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        links = durable(_verified(stars, classes, texts, k, percent))
     parts = connected_components(links, "a", "b")
     placed = hot.join(classes.select("c", "cells"), "c").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     placed = durable(placed.join(mixed, "token"))
+    discard(hot)
     # The smaller set (ties: the lesser class) needs the shingle early: its intersection with a set as large is larger.
     early = placed.where((F.col("n") - F.col("pos") + F.col("seen")) * (100 + percent) >= F.col("n") * 2 * percent)
     rest = early.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.struct("x.n", "x.c") < F.struct("y.n", "y.c")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y") & _suffix_filter(F.col("x.n"), F.col("y.n"), F.col("x.cells"), F.col("y.cells"), percent))
     rest = rest.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(rest, classes, texts, k, percent))
-    parts = durable(connected_components(links, "a", "b"))
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        more = durable(_verified(rest, classes, texts, k, percent))
+    discard(stars, texts, placed)
+    parts = durable(connected_components(links.unionByName(more), "a", "b"))
     return members, classes.select("c", "one", "least").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
 
@@ -190,7 +209,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
     A null or empty text has an empty set and is linked with nothing: its component is itself.  Repeated rows are
     copies.  A row with a null doc_id is in the class of its equals, names no component (null where it has no other)
     and otherwise links with nothing.  Columns but doc_id and text don't matter; an empty table gives an empty one.
-    Sets and shingles are told apart by 64-bit hashes.
+    Sets are told apart by 128-bit hashes, the shingles of two sets that are compared by 64-bit ones.
     """
     members, named = _linked(docs, k, percent)
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -1,26 +1,31 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
 The symbols are UTF-8 bytes, so nothing is out of vocabulary and an n-gram of up to seven is an exact integer key.
-Counts come from all trusted documents; lower orders count distinct left neighbours.  Documents are dealt into chunks;
-a chunk asks for its distinct n-grams only, these are joined shard by shard with the counts of each order, and the
-answers go back to the chunk, where documents are scored.  Texts move twice: to ask by chunk, and to be scored.
+Counts come from all trusted documents but for a fold of them, which sets the thresholds; lower orders count distinct
+left neighbours.  Documents that a task reads in a row form a chunk, which is written compressed to a bucketed table.
+A chunk asks for its distinct n-grams only; these are joined shard by shard with the counts of each order, and the
+answers go to the bucket where the chunk lies, where its documents are scored.  Texts are not shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles as S
-from .common import durable
+from .common import bucketed, discard, durable, scratch
 
 ORDER = 5
-#: Text bytes of a chunk, on average.
+#: Bytes of a chunk, but for one long text.
 CHUNK_BYTES = 16_000_000
 #: One in FOLDS trusted documents is kept from training, and sets the thresholds: this share of them stays.
 FOLDS, QUANTILE = 5, 0.99
@@ -53,34 +58,69 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
 
 
-def _tally(texts: DataFrame, n: int) -> DataFrame:
-    """Distinct n-grams of the texts of each task and chunk, and how often they occur in trusted ones."""
+#: What a chunk asks and says: its n-grams ascending, how often each occurs in its trusted documents, and its rows as an Arrow stream.
+PACKED = "chunk long, grams binary, counts binary, rows binary"
+
+
+def _packed(docs: DataFrame, n: int) -> DataFrame:
+    """`docs` (text and trusted among its columns) in chunks of a task's rows in a row."""
+    text_at, trusted_at = docs.columns.index("text"), docs.columns.index("trusted")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+        held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for c, parts in held.items():
-                u, k = _summed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-                for i in range(0, len(u), 200_000):
-                    m = len(u[i : i + 200_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, c)), pa.array(u[i : i + m]), pa.array(k[i : i + m])], names=["chunk", "gram", "n"])
+            asked = []
+            for b in held:
+                good = b.column(trusted_at).fill_null(False)
+                for wanted, times in ((good, 1), (pc.invert(good), 0)):
+                    u, k = _counted(b.column(text_at).filter(wanted), n)
+                    asked.append((u, k * times))
+            u, k = _summed(np.concatenate([x for x, _ in asked]), np.concatenate([x for _, x in asked]))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            gaps = zstandard.compress(np.diff(u, prepend=0).tobytes(), 1), zstandard.compress(k.tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([next(number)], pa.int64()), *[pa.array([x], pa.binary()) for x in gaps], pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "grams", "counts", "rows"])
             held.clear()
 
         for b in batches:
-            chunk = b.column(0).to_numpy(zero_copy_only=False)
-            good = b.column(1).to_numpy(zero_copy_only=False)
-            for c, g in {(int(c), bool(g)) for c, g in zip(chunk, good)}:
-                u, k = _counted(b.column(2).filter(pa.array((chunk == c) & (good == g))), n)
-                held.setdefault(c, []).append((u, k if g else 0 * k))
-                if len(held[c]) >= 8:
-                    parts = held[c]
-                    held[c] = [_summed(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))]
-            if sum(len(p[0]) for ps in held.values() for p in ps) > 4_000_000:
-                yield from flush()
-        yield from flush()
+            for part in _cut(b, text_at):
+                if held and sum(x.nbytes for x in held) + part.nbytes > CHUNK_BYTES:
+                    yield from flush()
+                held.append(part)
+        if held:
+            yield from flush()
+
+    return docs.mapInArrow(of, PACKED)
+
+
+def _cut(b: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of CHUNK_BYTES of text or little more, or of a single longer text; each owns its bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < b.num_rows:
+        done = size[row - 1] if row else 0
+        end = max(row + 1, int(np.searchsorted(size, done + CHUNK_BYTES, "right")))
+        yield b.take(pa.array(range(row, end), pa.int64())) if end - row < b.num_rows else b
+        row = end
+
+
+def _asked(packed: DataFrame) -> DataFrame:
+    """chunk, gram, n of each n-gram that a chunk asks for."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, grams, counts in zip(*[c.to_pylist() for c in b.columns]):
+                u = np.cumsum(np.frombuffer(zstandard.decompress(grams), np.int64))
+                k = np.frombuffer(zstandard.decompress(counts), np.int64)
+                for i in range(0, len(u), 200_000):
+                    part = u[i : i + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part), pa.array(k[i : i + len(part)])], names=["chunk", "gram", "n"])
 
-    return texts.select("chunk", "trusted", "text").mapInArrow(of, "chunk long, gram long, n long")
+    return packed.select("chunk", "grams", "counts").mapInArrow(rows, "chunk long, gram long, n long")
 
 
 def _discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -116,40 +156,48 @@ def _log_p(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame:
     return p.select("gram", F.log("p").cast("float").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: Column, order: int = ORDER, labels: DataFrame | None = None) -> DataFrame:
-    """`docs` (doc_id, text and others) with perplexity: exp of the mean negative log-probability per byte; null without text.
+def perplexities(docs: DataFrame, trusted: Column, order: int = ORDER) -> DataFrame:
+    """`docs` (text and others) with perplexity: exp of the mean negative log-probability per byte; null without text.
 
-    `trusted` marks the rows that the model is trained on, all of them; it may name columns of `labels` (one row per
-    doc_id), too.  Rows of one doc_id share a chunk.
+    `trusted` marks the rows that the model is trained on, all of them; a null there is false.  Rows may repeat, and
+    no column but text has a meaning; one must not be named perplexity.
     """
-    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-bytes_ // CHUNK_BYTES))
-    chunk = F.pmod(F.hash("doc_id"), F.lit(chunks)).cast("long")
-    # A chunk is a partition by doc_id: labels join, and n-grams are told apart, where the text lies.
-    near = docs.repartition(chunks, "doc_id")
-    near = near if labels is None else near.join(labels.repartition(chunks, "doc_id"), "doc_id", "left")
-    tally = _tally(near.where("text is not null").select(chunk.alias("chunk"), F.coalesce(trusted, F.lit(False)).alias("trusted"), "text"), order)
-    asked = durable(tally.groupBy("chunk", "gram").agg(F.sum("n").alias("n")))
+    if "perplexity" in docs.columns:
+        raise ValueError("docs already has a column perplexity")
+    spark, columns = docs.sparkSession, docs.columns
+    text = F.col("text").cast("string")
+    shown = docs.select(F.coalesce(trusted, F.lit(False)).alias("trusted"), text.alias("text"), *[docs[c].alias(f"_{c}") for c in columns if c != "text"])
+    # A bucketed table: answers come to where their chunk lies, and texts move no more.
+    packed = bucketed(_packed(shown, order), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = _asked(packed)
     counts = durable(asked.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
-    keep = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.struct(*keep).alias("doc"), "text", chunk.alias("chunk"))
-    dealt = rows.repartition(chunks, "chunk")
-    logp = _log_p(asked.select("gram").distinct(), counts, order)
-    answers = asked.join(logp, "gram").select("chunk", "gram", "logp")
-
-    def answer(key, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        by = answers["gram"].to_numpy(np.int64).argsort()
-        known, logp = answers["gram"].to_numpy(np.int64)[by], answers["logp"].to_numpy(np.float64)[by]
-        out = np.full(len(texts), np.nan)
-        for row, data, at in S.chunks(pa.array(texts["text"], pa.string())):
-            sums = np.append(0.0, np.cumsum(logp[np.searchsorted(known, _grams(data, at, order))]))
-            size = np.diff(at)
-            out[row : row + len(size)] = np.where(size > 0, np.exp(-(sums[at[1:]] - sums[at[:-1]]) / np.maximum(size, 1)), np.nan)
-        return pd.DataFrame({"doc": texts["doc"], "perplexity": pd.array(out)})
-
-    schema = rows.select("doc").schema.add("perplexity", "double")
-    scored = dealt.select("chunk", "doc", "text").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(answer, schema)
-    return scored.select("doc.*", F.when(~F.isnan("perplexity"), F.col("perplexity")).alias("perplexity"))
+    with scratch(spark) as keep:
+        logp = keep(durable(_log_p(asked.select("gram").distinct(), counts, order)))
+    discard(counts)
+    answers = asked.select("chunk", "gram").join(logp, "gram").select("chunk", "gram", "logp")
+
+    def answer(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        known, logp = answers["gram"].to_numpy(), answers["logp"].to_numpy().astype(np.float64)
+        by = known.argsort()
+        known, logp, parts = known[by], logp[by], []
+        for stream in chunk["rows"].to_pylist():
+            for b in pa.ipc.open_stream(stream):
+                out = np.full(b.num_rows, np.nan)
+                for row, data, at in S.chunks(b.column("text")):
+                    sums = np.append(0.0, np.cumsum(logp[np.searchsorted(known, _grams(data, at, order))]))
+                    size = np.diff(at)
+                    out[row : row + len(size)] = np.where(size > 0, np.exp(-(sums[at[1:]] - sums[at[:-1]]) / np.maximum(size, 1)), np.nan)
+                kept = [b.column(i) for i in range(2, b.num_columns)]
+                parts.append(pa.Table.from_arrays([*kept, pa.array(out, from_pandas=True)], names=[*b.schema.names[2:], "perplexity"]))
+        return pa.concat_tables(parts)
+
+    schema = T.StructType([*shown.drop("trusted", "text").schema.fields, T.StructField("perplexity", T.DoubleType())])
+    scored = packed.select("chunk", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(answer, schema)
+    return scored.select(*[F.col(f"_{c}").alias(c) for c in columns if c != "text"], "perplexity")
+
+
+#: Labels up to this many rows of two small columns are sent to every task; beyond that, they are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 def judged(docs: DataFrame, trusted: Column, order: int = ORDER, quantile: float = QUANTILE, labels: DataFrame | None = None) -> DataFrame:
@@ -162,13 +210,16 @@ def judged(docs: DataFrame, trusted: Column, order: int = ORDER, quantile: float
     without those, none, and all stay.  A null or empty text has no
     perplexity and isn't kept.  Repeated rows are each judged; an empty table gives an empty one.
     """
-    good = F.coalesce(trusted, F.lit(False)).alias("trusted")
-    out = (F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0).alias("out")
-    marks = None if labels is None else labels.select("doc_id", good)
-    marked = docs.select("doc_id", "lang", "text", out, *([good] if labels is None else []))
-    rows = durable(perplexities(marked, F.col("trusted") & ~F.col("out"), order, marks))
-    rows = rows if marks is None else rows.join(marks, "doc_id", "left")
-    good = rows.where("trusted and out and perplexity is not null")
+    good = F.coalesce(trusted, F.lit(False)).alias("good")
+    if labels is None:
+        marked = docs.select("doc_id", "lang", "text", good)
+    else:
+        marks = labels.select("doc_id", good)
+        marks = F.broadcast(marks) if labels.count() <= BROADCAST_LABELS else marks
+        marked = docs.select("doc_id", "lang", "text").join(marks, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    marked = marked.withColumn("out", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
+    rows = durable(perplexities(marked, F.col("good") & ~F.col("out"), order))
+    good = rows.where("good and out and perplexity is not null")
     level = F.percentile_approx("perplexity", quantile, 10_000)
     every = good.agg(level).first()[0]
     limits = good.where("lang is not null").groupBy("lang").agg(level.alias("threshold"))
