@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.llm import mixing, ngram_join, packing, secret_scan, toxicity
-from clauselake.llm.common import durable, table
+from clauselake.llm.common import discard, durable, scratch, table
 from clauselake.llm.queries import tokenizer_path
 
 #: A document is rejected from this score on.
@@ -49,9 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs)
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(durable(stage(spark, docs, sf_dir)))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
