@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles as S
-from .common import bucketed, discard, durable, scratch
+from .common import arrow_bytes, bucketed, discard, durable, scratch
 
 ORDER = 5
 #: Bytes of a chunk, but for one long text.
 CHUNK_BYTES = 16_000_000
+#: Bytes sent to Python at once.
+BATCH_BYTES = 8_000_000
 #: One in FOLDS trusted documents is kept from training, and sets the thresholds: this share of them stays.
 FOLDS, QUANTILE = 5, 0.99
 #: What stands before a text.
@@ -168,7 +170,8 @@ def perplexities(docs: DataFrame, trusted: Column, order: int = ORDER) -> DataFr
     text = F.col("text").cast("string")
     shown = docs.select(F.coalesce(trusted, F.lit(False)).alias("trusted"), text.alias("text"), *[docs[c].alias(f"_{c}") for c in columns if c != "text"])
     # A bucketed table: answers come to where their chunk lies, and texts move no more.
-    packed = bucketed(_packed(shown, order), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with arrow_bytes(spark, BATCH_BYTES):
+        packed = bucketed(_packed(shown, order), "chunk", int(spark.conf.get("spark.sql.shuffle.partitions")))
     asked = _asked(packed)
     counts = durable(asked.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")))
     with scratch(spark) as keep:
@@ -218,7 +221,9 @@ def judged(docs: DataFrame, trusted: Column, order: int = ORDER, quantile: float
         marks = F.broadcast(marks) if labels.count() <= BROADCAST_LABELS else marks
         marked = docs.select("doc_id", "lang", "text").join(marks, "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("good", F.lit(False)).alias("good"))
     marked = marked.withColumn("out", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0)
-    rows = durable(perplexities(marked, F.col("good") & ~F.col("out"), order))
+    scored = perplexities(marked, F.col("good") & ~F.col("out"), order)
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        rows = durable(scored)
     good = rows.where("good and out and perplexity is not null")
     level = F.percentile_approx("perplexity", quantile, 10_000)
     every = good.agg(level).first()[0]
