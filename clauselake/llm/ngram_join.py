@@ -125,13 +125,26 @@ def _suffix_filter(n_a: Column, n_b: Column, cells_a: Column, cells_b: Column, p
     return _may_overlap(n_a, n_b, F.floor((n_a + n_b - apart) / 2), percent)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """`pairs` (a, b) of linked sets: those that pass the suffix filter are compared whole."""
-    side = lambda x, *cols: classes.select(F.col("c").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in cols])
-    sized = pairs.join(side("a", "n", "cells"), "a").join(side("b", "n", "cells"), "b")
-    near = sized.where(_suffix_filter(F.col("n_a"), F.col("n_b"), F.col("cells_a"), F.col("cells_b"), percent)).select("a", "b")
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (a, b) that pass the suffix filter."""
+    side = lambda x: classes.select(F.col("c").alias(x), *[F.col(y).alias(f"{y}_{x}") for y in ("n", "cells")])
+    sized = pairs.join(side("a"), "a").join(side("b"), "b")
+    return sized.where(_suffix_filter(F.col("n_a"), F.col("n_b"), F.col("cells_a"), F.col("cells_b"), percent)).select("a", "b")
+
+
+#: Classes up to this many, in 40 bytes each, are sent to every task to pick their texts; beyond that, a shuffle brings both together.
+BROADCAST_CLASSES = 500_000
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """`pairs` (a, b; each once) of linked sets: texts of the classes in question alone are moved, and compared whole."""
+    asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    asked = durable(classes.select("c", "one.doc_id", "one.t").join(asked, "c"))
+    picked = F.broadcast(asked) if asked.count() <= BROADCAST_CLASSES else asked
+    # The text of a class is that of its least row; repeated rows are one.
+    texts = durable(docs.join(picked, ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "c"]).select("c", "text"))
     text = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
-    whole = near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    whole = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +165,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
                 linked.append(100 * same >= percent * (len(x) + len(y) - same))
             yield b.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    return whole.mapInArrow(compare, "a binary, b binary")
+    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
+        links = durable(whole.mapInArrow(compare, "a binary, b binary"))
+    discard(asked, texts)
+    return links
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -171,9 +187,6 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     hot = rows.join(shared, "token")
     hot = durable(hot.withColumn("seen", F.row_number().over(Window.partitionBy("c").orderBy("pos")) - 1))
     discard(grouped, shared)
-    used = classes.join(hot.select("c").distinct(), "c", "left_semi").select("c", "one.doc_id", "one.t")
-    # The text of a class is that of its least row; repeated rows are one.
-    texts = durable(docs.join(used, ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "c"]).select("c", "text"))
 
     def possible(a: str, b: str) -> Column:
         x = lambda name: F.col(f"{a}.{name}")
@@ -184,8 +197,9 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     centre = hot.groupBy("token").agg(F.min(F.struct("pos", "n", "c", "seen")).alias("at")).select("token", "at.*")
     stars = hot.alias("x").join(centre.alias("y"), "token").where((F.col("x.c") != F.col("y.c")) & possible("x", "y"))
     stars = durable(stars.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct())
-    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
-        links = durable(_verified(stars, classes, texts, k, percent))
+    near = durable(_near(stars, classes, percent))
+    links = _verified(near, classes, docs, k, percent)
+    discard(near)
     parts = connected_components(links, "a", "b")
     placed = hot.join(classes.select("c", "cells"), "c").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
@@ -194,10 +208,10 @@ def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     # The smaller set (ties: the lesser class) needs the shingle early: its intersection with a set as large is larger.
     early = placed.where((F.col("n") - F.col("pos") + F.col("seen")) * (100 + percent) >= F.col("n") * 2 * percent)
     rest = early.alias("x").join(placed.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.struct("x.n", "x.c") < F.struct("y.n", "y.c")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y") & _suffix_filter(F.col("x.n"), F.col("y.n"), F.col("x.cells"), F.col("y.cells"), percent))
-    rest = rest.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    with arrow_bytes(docs.sparkSession, BATCH_BYTES):
-        more = durable(_verified(rest, classes, texts, k, percent))
-    discard(stars, texts, placed)
+    rest = durable(rest.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    discard(stars, placed)
+    more = _verified(rest, classes, docs, k, percent)
+    discard(rest)
     parts = durable(connected_components(links.unionByName(more), "a", "b"))
     return members, classes.select("c", "one", "least").join(parts.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
