@@ -76,7 +76,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_topk.top_k(exact_topk.quantized(table(spark, sf_dir, "embeddings"), 256), F.col("id") % 50 == 0, 5)
+    return exact_topk.top_k(exact_topk.quantized(table(spark, sf_dir, "embeddings"), 256), F.col("id") % 50 == 0, 5).drop("opened")
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_mix_sources, op3_suffix_dedup, op4_url_filters, op5_secret_scan, op6_quality_lm, op7_toxicity, op8_winnowing, op9_packing, op10_exact_topk)}
