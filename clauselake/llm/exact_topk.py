@@ -163,25 +163,27 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
                     own, q, scores, _, counted = read(x)
                     by, bound = order(q)
                     part = slice(x.next, x.next + many)
-                    rows, at = np.nonzero(bound[:, part] >= floors(scores, counted)[:, None])
+                    floor = floors(scores, counted)
+                    rows, at = np.nonzero(bound[:, part] >= floor[:, None])
                     cell = by[:, part][rows, at]
                     turn = np.argsort(cell, kind="stable")
                     rows, cell = rows[turn], cell[turn]
                     for c, some in zip(cell[np.append(0, np.flatnonzero(np.diff(cell)) + 1)] if len(cell) else [], np.split(rows, np.flatnonzero(np.diff(cell)) + 1)):
-                        yield pd.DataFrame({"pivot": [int(listed[c, 0])], "annulus": [int(listed[c, 1])], "block": [x.block], "which": [some.astype(np.int64).tobytes()], "qids": [own[some].tobytes()], "qvecs": [q[some].tobytes()]})
+                        yield pd.DataFrame({"pivot": [int(listed[c, 0])], "annulus": [int(listed[c, 1])], "block": [x.block], "which": [some.astype(np.int64).tobytes()], "qids": [own[some].tobytes()], "qvecs": [q[some].tobytes()], "floors": [floor[some].tobytes()]})
 
-        return state.mapInPandas(of, "pivot int, annulus int, block long, which binary, qids binary, qvecs binary")
+        return state.mapInPandas(of, "pivot int, annulus int, block long, which binary, qids binary, qvecs binary, floors binary")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for x in b.itertuples():
                 got, own, which = (np.frombuffer(y, np.int64) for y in (x.ids, x.qids, x.which))
                 vecs, q = (np.frombuffer(y, "<i8").reshape(n, dim).astype(kind) for y, n in ((x.vecs, len(got)), (x.qvecs, len(own))))
-                scores = (q @ vecs.T).astype(np.int64)
+                scores, floor = (q @ vecs.T).astype(np.int64), np.frombuffer(x.floors)
                 found = []
                 for i, row in enumerate(scores):
                     other = np.flatnonzero(got != own[i])
-                    best = other[_best(row[other], got[other], k)]
+                    near = other[row[other] >= floor[i]]
+                    best = near[_best(row[near], got[near], k)]
                     # A first row says how many were looked at: its id is no id.
                     found += [(x.block, which[i], None, len(other)), *((x.block, which[i], got[j], row[j]) for j in best)]
                 yield pd.DataFrame(found, columns=["block", "query", "vec_id", "score"]).astype({"vec_id": "Int64"})
@@ -212,7 +214,7 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
     many, done = FIRST, []
     while not state.isEmpty():
         # What an annulus and its queries weigh is not seen in the size of the input: never broadcast.
-        found = ask(many).hint("merge").join(index.hint("merge"), ["pivot", "annulus"]).select("block", "ids", "vecs", "which", "qids", "qvecs").mapInPandas(search, FOUND)
+        found = ask(many).hint("merge").join(index.hint("merge"), ["pivot", "annulus"]).select("block", "ids", "vecs", "which", "qids", "qvecs", "floors").mapInPandas(search, FOUND)
         before, state = state, durable(state.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(merged(many), STATE))
         discard(before)
         done.append(state.where("waiting = 0"))
