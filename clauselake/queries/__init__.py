@@ -1,6 +1,6 @@
 """The registered queries and their SQL, by area."""
 
-from . import scores, store, texts
+from . import reading, scores, store, texts
 
-QUERIES: dict = store.QUERIES | texts.QUERIES | scores.QUERIES
-ORACLES: dict = store.ORACLES | texts.ORACLES | scores.ORACLES
+QUERIES: dict = store.QUERIES | texts.QUERIES | scores.QUERIES | reading.QUERIES
+ORACLES: dict = store.ORACLES | texts.ORACLES | scores.ORACLES | reading.ORACLES
