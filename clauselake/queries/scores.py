@@ -46,19 +46,19 @@ def temperature_curve(spark, sf_dir):
 
 
 def threshold_curve(spark, sf_dir):
-    return M.thresholds(scored(spark, sf_dir), [i / 100 for i in range(10, 100)])
+    return M.thresholds(scored(spark, sf_dir), [i / 100 for i in range(10, 100)]).select("threshold", *[F.round(x, 9).alias(x) for x in ("macro_f1", "accuracy", "unfair_f1")])
 
 
 def threshold_plateau(spark, sf_dir):
-    return M.plateau(threshold_curve(spark, sf_dir))
+    return M.plateau(threshold_curve(spark, sf_dir)).select("low", F.round("centre", 9).alias("centre"), "high")
 
 
 def bias_curve(spark, sf_dir):
-    return M.other_bias(scored(spark, sf_dir))
+    return M.other_bias(scored(spark, sf_dir)).select("bias", F.round("macro_f1", 9).alias("macro_f1"))
 
 
 def bootstrap_intervals(spark, sf_dir):
-    return M.bootstrap(scored(spark, sf_dir), 100)
+    return M.bootstrap(scored(spark, sf_dir), 1000)
 
 
 def label_agreement(spark, sf_dir):
@@ -92,6 +92,24 @@ CLASSES = """
   f as (select cls, cast(support as bigint) as support, case when predicted = 0 then 0 else tp / cast(predicted as double) end as precision, case when support = 0 then 0 else tp / cast(support as double) end as recall,
                case when support + predicted = 0 or tp = 0 then 0 else 2.0 * tp / (support + predicted) end as f1 from c)
 """
+def curve(name: str, grid: str, pred: str) -> str:
+    """Metrics by a parameter: each value's decisions, their cells, and the summary over them."""
+    return f"""
+  d as (select {name}, gold, {pred} as p from s, (select unnest({grid}) as {name})),
+  dc as (select {name}, gold, p, count(*) as n from d group by all),
+  k as (select {name}, unnest(range(0, 9)) as cls from (select distinct {name} from dc)),
+  pc as (select k.{name}, k.cls, sum(case when gold = cls and p = cls then n else 0 end) as tp, sum(case when gold = cls then n else 0 end) as support, sum(case when p = cls then n else 0 end) as predicted
+         from k join dc on dc.{name} = k.{name} group by k.{name}, k.cls),
+  m as (select {name}, avg(2.0 * tp / (support + predicted)) as macro_f1 from pc where support > 0 group by 1),
+  a as (select {name}, sum(case when gold = p then n else 0 end) / cast(sum(n) as double) as accuracy,
+               coalesce(2.0 * sum(case when gold <> 6 and p <> 6 then n else 0 end) / nullif(sum(case when gold <> 6 then n else 0 end) + sum(case when p <> 6 then n else 0 end), 0), 0) as unfair_f1 from dc group by 1),
+  curve as (select {name}, round(macro_f1, 9) as macro_f1, round(accuracy, 9) as accuracy, round(unfair_f1, 9) as unfair_f1 from m join a using ({name}))
+"""
+
+
+AT_THRESHOLD = "case when probs[7] >= threshold then 6 else list_position(list_concat(probs[1:6], [-1.0], probs[8:9]), list_max(list_concat(probs[1:6], [-1.0], probs[8:9]))) - 1 end"
+WITH_BIAS = "list_position(list_concat(logits[1:6], [logits[7] + bias], logits[8:9]), list_max(list_concat(logits[1:6], [logits[7] + bias], logits[8:9]))) - 1"
+THRESHOLDS = curve("threshold", "list_transform(range(10, 100), lambda i: i / 100.0::double)", AT_THRESHOLD)
 ORACLES = {
     "class_decisions": f"with {SCORED} select id, cast(pred as bigint) as pred, cast(case when probs[7] >= 0.2 then 6 else list_position(list_concat(probs[1:6], [-1.0], probs[8:9]), list_max(list_concat(probs[1:6], [-1.0], probs[8:9]))) - 1 end as bigint) as flagged, round(list_max(probs), 6) as confidence from s",
     "class_confusion": f"with {SCORED} select cast(gold as bigint) as gold, cast(pred as bigint) as pred, n from cells",
@@ -102,6 +120,17 @@ ORACLES = {
     "calibration_error": f"""with {SCORED}, b as (select greatest(ceil(list_max(probs) * 15), 1) as bin, count(*) as n, avg(list_max(probs)) as conf, avg(case when pred = gold then 1.0 else 0.0 end) as acc from s group by 1)
         select round(sum(n * abs(conf - acc)) / sum(n), 9) as ece from b""",
     "brier_score": f"with {SCORED} select round(avg(list_sum(list_transform(probs, lambda p, i: pow(p - case when i - 1 = gold then 1 else 0 end, 2)))), 9) as brier from s",
+    "temperature_curve": f"""with {SCORED}, t as (select temperature, gold, list_transform(logits, lambda x: exp((x - list_max(logits)) / temperature)) as ex from z, (select unnest([0.5, 1.0, 2.0, 4.0]::double[]) as temperature))
+        select temperature, round(avg(-ln(ex[gold + 1] / list_sum(ex) + 1e-12)), 9) as nll from t group by 1""",
+    "threshold_curve": f"with {SCORED}, {THRESHOLDS} select * from curve",
+    "threshold_plateau": f"""with {SCORED}, {THRESHOLDS}, n as (select *, macro_f1 >= max(macro_f1) over () - 0.002 as near, macro_f1 = max(macro_f1) over () as best from curve),
+        r as (select *, sum(case when near then 0 else 1 end) over (order by threshold) as run from n), g as (select min(threshold) as low, max(threshold) as high, bool_or(best) as best from r where near group by run)
+        select low, round((low + high) / 2, 9) as centre, high from g where best order by low limit 1""",
+    "bias_curve": f"with {SCORED}, {curve('bias', 'list_transform(range(0, 25), lambda i: -3 + 0.25::double * i)', WITH_BIAS)} select bias, macro_f1 from curve",
+    "sign_hash_distances": """
+        with b as (select vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) as b from embeddings), o as (select b as o from b where vec_id = 0)
+        select vec_id, array_to_string(list_transform(range(0, 16), lambda i: lower(to_hex(b[4 * i + 1] * 8 + b[4 * i + 2] * 4 + b[4 * i + 3] * 2 + b[4 * i + 4]))), '') as hash,
+               cast(list_sum(list_transform(range(1, 65), lambda i: abs(b[i] - o[i]))) as bigint) as distance from b, o""",
     "label_agreement": """
         with c as (select count(*) filter (where toxic = 1 and quality = 0) as tp, count(*) filter (where toxic <> 1 and quality = 0) as fp, count(*) filter (where toxic = 1 and quality <> 0) as fn, count(*) filter (where toxic <> 1 and quality <> 0) as tn from labels)
         select tp, fp, fn, tn, round(coalesce(tp / nullif(cast(tp + fp as double), 0), 0), 9) as precision, round(coalesce(tp / nullif(cast(tp + fn as double), 0), 0), 9) as recall,

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pii as P
+from ..functions import sentences as S
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import similar
+from ..operators import reading, similar
 from .store import table
 
 
@@ -33,7 +34,13 @@ def benchmark_overlap(spark, sf_dir):
 def near_duplicate_turns(spark, sf_dir):
     """Turns of conversations that are near copies of each other."""
     c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return similar.near_duplicates(c, c, 0.5).where("left_id < right_id")
+    return similar.near_duplicates(c, c, 0.3, 2).where("left_id < right_id")
+
+
+def near_duplicate_documents(spark, sf_dir):
+    """Pairs of different documents that share most of their word trigrams."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return similar.near_duplicates(d, d, 0.7).where("left_id < right_id").select("left_id", "right_id", "shared", F.round("similarity", 9).alias("similarity"))
 
 
 def legal_and_fee_cues(spark, sf_dir):
@@ -60,22 +67,36 @@ def previous_turns(spark, sf_dir):
 
 
 def quotes_in_documents(spark, sf_dir):
-    """Benchmark items that a document quotes word for word; both meet on the canonical text's first eight words."""
-    first = lambda c: F.array_join(F.slice(F.split(T.canonical(c), " "), 1, 8), " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"), first(F.col("text")).alias("head"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", T.canonical(F.col("text")).alias("canon"))
-    words = F.split("canon", " ")
-    heads = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 7, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 8), " ")))).alias("head"))
-    met = heads.join(items, "head").select("doc_id", "item_id", "quote")
-    return met.join(docs.select("doc_id", "text"), "doc_id").where(T.is_verbatim(F.col("quote"), F.col("text"))).select("doc_id", "item_id").distinct()
+    """Benchmark items that a document quotes word for word."""
+    return similar.quoting(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def document_sentences(spark, sf_dir):
+    """Sentences of documents in reading order, at most 1,500 of each, with the one before."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(S.sentences(F.col("text")), 1, 1500)).alias("index", "sentence"))
+    before = F.lag("sentence").over(Window.partitionBy("doc_id").orderBy("index"))
+    return d.select("doc_id", F.col("index").cast("long").alias("index"), "sentence", F.coalesce(before, F.lit("")).alias("prev"))
+
+
+def fee_sentences(spark, sf_dir):
+    """Sentences (ten characters and two words at least) that speak of fees, at most 200 of each document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.sentences(F.col("text"), 10, 2)).alias("index", "sentence"))
+    rows = d.withColumn("kind", T.money_kind(F.col("sentence"))).where("kind is not null")
+    return reading.capped(rows, "doc_id", [F.col("index")], 200).select("doc_id", F.col("index").cast("long").alias("index"), "kind")
+
 
+def normalised_turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.normalised(F.col("text")).alias("text"))
 
-QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, legal_and_fee_cues, personal_data_counts, page_addresses, previous_turns, quotes_in_documents)}
+
+QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns)}
 
 KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 GRAMS = """list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)"""
 STOP = ", ".join(f"'{w}'" for w in T.STOP)
 
+CANON = r"""lower(trim(regexp_replace(translate(regexp_replace(text, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '‘’“”', '''''""'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')))"""
+
 
 def grams(table_: str, id_: str) -> str:
     return f"select id, unnest(g) as gram, len(g) as n from (select id, {GRAMS} as g from (select {id_} as id, list_filter(string_split({KEY.format('text')}, ' '), lambda x: x <> '') as w from {table_}))"
@@ -96,9 +117,26 @@ ORACLES = {
         select a.id as doc_id, b.id as item_id, cast(count(*) as double) / b.n as share from a join b using (gram) group by a.id, b.id, b.n having cast(count(*) as double) / b.n >= 0.5
     """,
     "near_duplicate_turns": f"""
-        with g as ({grams("conversations", "conv_id || ':' || turn")}), p as (
+        with w as (select conv_id || ':' || turn as id, list_filter(string_split({KEY.format('text')}, ' '), lambda x: x <> '') as w from conversations),
+        s as (select id, list_distinct(case when len(w) = 0 then [] when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from w),
+        g as (select id, unnest(g) as gram, len(g) as n from s), p as (
+          select a.id as left_id, b.id as right_id, count(*) as shared, a.n as an, b.n as bn from g a join g b on a.gram = b.gram and a.id < b.id group by all)
+        select left_id, right_id, shared, cast(shared as double) / (an + bn - shared) as similarity from p where cast(shared as double) / (an + bn - shared) >= 0.3
+    """,
+    "near_duplicate_documents": f"""
+        with g as ({grams("documents", "doc_id")}), p as (
           select a.id as left_id, b.id as right_id, count(*) as shared, a.n as an, b.n as bn from g a join g b on a.gram = b.gram and a.id < b.id group by all)
-        select left_id, right_id, shared, cast(shared as double) / (an + bn - shared) as similarity from p where cast(shared as double) / (an + bn - shared) >= 0.5
+        select left_id, right_id, shared, round(cast(shared as double) / (an + bn - shared), 9) as similarity from p where cast(shared as double) / (an + bn - shared) >= 0.7
+    """,
+    "significant_word_counts": f"""
+        with w as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z''-]{{2,}}'), lambda x: not list_contains([{STOP}], x)) as w from documents),
+        u as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as ord from w), f as (select doc_id, word, min(ord) as ord from u group by all),
+        r as (select *, row_number() over (partition by doc_id order by length(word) desc, ord) as rn from f)
+        select doc_id, count(word) as words, coalesce(string_agg(word, ' ' order by rn) filter (where rn <= 3), '') as longest from documents left join r using (doc_id) group by doc_id
+    """,
+    "quotes_in_documents": f"""
+        with d as (select doc_id, {CANON} as t from documents), i as (select item_id, {CANON} as q from benchmark)
+        select distinct doc_id, item_id from d join i on contains(t, q) where length(q) >= 8
     """,
     "legal_and_fee_cues": f"select doc_id, {cues('coalesce(text, chr(32))')} as cues, {money('text')} as money from documents",
     "page_addresses": r"""
