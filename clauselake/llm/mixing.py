@@ -66,7 +66,7 @@ def mix_sources(
     taken = whole epochs times size, plus what the last, partial epoch takes: rows in key order up to the budget, the
     row at the cut in part.  So each source's taken words are its target, rounded.
     Null text or size counts 0; a null source is a source of its own, last; rows without words take 0; repeated rows
-    each count; an empty table gives an empty one.  Columns outside `keep` don't matter, whatever their names.
+    each count, and rows of one id and size are put in order by a hash of their text; an empty table gives an empty one.  Columns outside `keep` don't matter, whatever their names.
     """
     size = F.coalesce(size.cast("long"), F.lit(0)) if size is not None else word_count(docs[text_col])
     n = buckets_for(docs.count(), BUCKET_ROWS)
@@ -77,6 +77,7 @@ def mix_sources(
         F.coalesce(source, F.lit("")).alias("_src"),
         size.alias("_size"),
         docs[id_col].alias("_id"),
+        F.xxhash64(docs[text_col].cast("string")).alias("_text"),
     )
     rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), "_id", "_size")).withColumn("_bucket", range_bucket(F.col("_key"), n))
     sums = rows.groupBy("_null", "_src", "_bucket").agg(F.sum("_size").alias("_sum"))
@@ -86,7 +87,7 @@ def mix_sources(
     sources = sources.withColumn("_budget", budget).withColumn("_epochs", epochs).withColumn("_rest", F.col("_budget") - F.col("_epochs") * F.col("_source_size"))
     before = Window.partitionBy("_null", "_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum").join(sources, ["_null", "_src"])
-    inside = Window.partitionBy("_null", "_src", "_bucket").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_null", "_src", "_bucket").orderBy("_key", "_id", "_size", "_text").rowsBetween(Window.unboundedPreceding, -1)
     dealt = rows.join(offsets, ["_null", "_src", "_bucket"])
     start = F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_start")))

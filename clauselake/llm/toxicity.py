@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 TRAIN_ROWS = 6_000
 #: Terms kept, factors per term, letters of a word's beginnings, words a task remembers.
 TERMS, FACTORS, BEGINNINGS, CACHED = 4096, 4, (4, 5), 500_000
+#: Frequent terms among which pairs are looked at in fitting.
+PAIRED = 512
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -69,6 +71,7 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, round
     z[n < 3] = 0
     kept = np.sort(np.argsort(-np.abs(z), kind="stable")[:TERMS])
     kept = kept[np.abs(z[kept]) > 3]
+    kept = np.union1d(kept, _pairs(np.searchsorted(every, flat), row, y, n, kept))
     at = np.full(len(every), -1)
     at[kept] = np.arange(len(kept))
     col = at[np.searchsorted(every, flat)]
@@ -90,6 +93,25 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray, factors: int = FACTORS, round
     return Machine(every[kept], float(p["b"][0]), p["w"], p["v"])
 
 
+def _pairs(term: np.ndarray, row: np.ndarray, y: np.ndarray, n: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Terms that say nothing alone but do beside another such term: of the most frequent PAIRED that are not kept, those of pairs far from the rate."""
+    free = np.setdiff1d(np.flatnonzero((n >= 10) & (n <= len(y) / 2)), kept)
+    free = np.sort(free[np.argsort(-n[free], kind="stable")[:PAIRED]])
+    if len(free) < 2:
+        return free[:0]
+    at = np.full(len(n), -1)
+    at[free] = np.arange(len(free))
+    a = np.zeros((len(y), len(free)), np.float32)
+    mine = at[term] >= 0
+    a[row[mine], at[term[mine]]] = 1
+    both, toxic = a.T @ a, a.T @ (a * y[:, None].astype(np.float32))
+    rate = y.mean()
+    far = np.abs(toxic - rate * both) / np.sqrt(np.maximum(both, 1) * rate * (1 - rate))
+    far[both < 10] = 0
+    np.fill_diagonal(far, 0)
+    return free[(far > 6).any(1)]
+
+
 def distinct_terms(texts: DataFrame) -> DataFrame:
     """`texts` (toxic, text) as (toxic, hashes: binary of int32)."""
 
@@ -119,13 +141,19 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
     # `rows` rows at most: may be broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
-    got = distinct_terms(texts).collect()
+    # An id may stand in `docs` more than once: what reaches the driver is bounded again.
+    got = distinct_terms(texts).orderBy(F.xxhash64("hashes"), "toxic").limit(rows).collect()
     got.sort(key=lambda r: (bytes(r["hashes"]), r["toxic"]))  # the same order each time
     return fit([np.frombuffer(r["hashes"], np.int32) for r in got], np.array([r["toxic"] for r in got]))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """`docs` (any columns, text among them) with score: 0 to 1, the likelier toxic the higher.  A null or empty text gets what the bias alone gives."""
+    """`docs` (any columns, text among them) with score: 0 to 1, the likelier toxic the higher.
+
+    A null or empty text gets what the bias alone gives.  A column score that is there already gives way.  Repeated
+    rows are each scored; an empty table gives an empty one.
+    """
+    docs = docs.drop("score")
     place = {int(h): i for i, h in enumerate(machine.hashes)}
     text_at = docs.columns.index("text")
 

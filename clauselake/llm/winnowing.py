@@ -17,8 +17,8 @@ K, W = 2, 2
 LONG, PIECE = 64, 3
 #: What is written without spaces: Han, kana, Thai, Lao, Khmer, Burmese.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-#: Documents of a bucket on average, and buckets at most: a table of bucket heads may therefore be broadcast.
-BUCKET_ROWS, MOST_BUCKETS, QUANTILES = 1000, 65_536, 256
+#: Documents of a bucket on average; up to this many buckets, the table of their first documents is broadcast, beyond that it is joined by a shuffle.
+BUCKET_ROWS, BROADCAST_BUCKETS, QUANTILES = 1000, 65_536, 256
 
 
 def _least_with(values: Column, step: int) -> Column:
@@ -84,7 +84,7 @@ def bucketed(docs: DataFrame, id_col: str) -> tuple[Column, int]:
     if low is None:
         return F.lit(-1).cast("long"), 1
     edges = sorted({low, *marks}) + [high + 1]
-    parts = max(1, -(-min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) // (len(edges) - 1)))
+    parts = max(1, -(-(-(-n // BUCKET_ROWS)) // (len(edges) - 1)))
     firsts = F.array(*[F.lit(int(e)).cast("long") for e in edges])
     at = let(firsts, lambda f: let(F.size(F.filter(f, lambda e: e <= F.col(id_col))), lambda q: (q - 1) * parts + F.floor((F.col(id_col) - F.element_at(f, q)) * parts / (F.element_at(f, q + 1) - F.element_at(f, q)))))
     return F.coalesce(at.cast("long"), F.lit(-1).cast("long")), parts * (len(edges) - 1)
@@ -98,11 +98,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     next; a null text is empty.
     """
     docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    bucket, _ = bucketed(docs, "id")
+    bucket, buckets = bucketed(docs, "id")
     heads = docs.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("id"))
     down = Window.orderBy(F.desc("bucket"))
     heads = heads.withColumn("to", F.coalesce(F.lag("bucket").over(down), F.last("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    rows = docs.withColumn("bucket", bucket).join(F.broadcast(heads.select(F.col("bucket").alias("_b"), F.col("id").alias("_head"), "to")), F.col("id").eqNullSafe(F.col("_head")) & (F.col("bucket") == F.col("_b")), "left")
+    heads = heads.select(F.col("bucket").alias("_b"), F.col("id").alias("_head"), "to")
+    heads = F.broadcast(heads) if buckets <= BROADCAST_BUCKETS else heads
+    rows = docs.withColumn("bucket", bucket).join(heads, F.col("id").eqNullSafe(F.col("_head")) & (F.col("bucket") == F.col("_b")), "left")
     place = lambda extra, bucket: F.named_struct(F.lit("extra"), F.lit(extra), F.lit("bucket"), F.col(bucket))
     places = F.array_compact(F.array(place(0, "bucket"), F.when(F.col("to").isNotNull(), place(1, "to"))))
     rows = rows.select("id", "text", places.alias("places")).select("id", "text", F.explode("places").alias("at")).select("id", "text", "at.bucket", "at.extra")

@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages, each written to Parquet and read again as the next one's input.
 
 Every stage but the last returns the columns of `documents`.  SQL cannot express the pipeline (a learned model and a
-tokenizer take part).  tests/llm/test_pipeline.py holds the ngram_join stage against a brute-force version.
+tokenizer take part).  tests/llm/test_pipeline.py holds each stage against a plain version.
 """
 
 from __future__ import annotations
