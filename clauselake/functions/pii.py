@@ -11,10 +11,13 @@ from .text import let
 KINDS = ("email", "contact_email", "payment_card", "national_id", "iban", "dob", "phone", "address", "account_marker")
 STRONG = ("email", "payment_card", "national_id", "iban", "dob")
 CONTACT = ("contact_email", "phone", "address")
+#: Labels of mailbox providers for private persons.
 CONSUMER_MAIL = (
-    "gmail googlemail yahoo ymail rocketmail hotmail outlook live msn icloud aol proton protonmail gmx yandex qq 163 126 sina sohu foxmail naver daum zoho fastmail "
-    "tutanota comcast verizon sbcglobal btinternet t-online libero"
-).split()
+    "gmail", "googlemail", "yahoo", "ymail", "rocketmail", "hotmail", "outlook", "live", "msn", "icloud", "aol", "proton",
+    "protonmail", "gmx", "yandex", "qq", "163", "126", "sina", "sohu", "foxmail", "naver", "daum", "zoho", "fastmail",
+    "tutanota", "comcast", "verizon", "sbcglobal", "btinternet", "t-online", "libero", "mail",
+)
+#: The patterns of each kind, and the weights of the resident number's check digit.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PLACEHOLDER = r"(^|\.)(example\.(com|org|net)|example|test|invalid|localhost)$"
 CARD = r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])"
@@ -101,7 +104,8 @@ def emails(text: Column) -> Column:
         n = F.size(labels)
         second = F.element_at(labels, -2)
         label = F.when((n > 2) & second.isin("co", "com", "org", "ne", "or", "ac"), F.try_element_at(labels, F.lit(-3))).otherwise(second)
-        return label.isin(*CONSUMER_MAIL) | ((label == "mail") & (n == 2))
+        # `mail` is a provider as mail.com alone: elsewhere it is a company's own server.
+        return label.isin(*CONSUMER_MAIL) & ((label != "mail") | (n == 2))
 
     return let(F.transform(domains, personal), lambda p: F.struct(F.size(F.filter(p, lambda x: x)).alias("email"), F.size(F.filter(p, lambda x: ~x)).alias("contact_email")))
 

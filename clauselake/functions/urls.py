@@ -107,16 +107,20 @@ def same_site(a: Column, b: Column) -> Column:
 
 
 def domain_candidates(typed: Column) -> Column:
-    """What a search box's text may mean: its host and the parents of it, most specific first."""
-    bare = F.lower(F.trim(typed))
-    bare = F.regexp_replace(F.regexp_replace(bare, "^[a-z]+://", ""), r"[/?#:].*$", "")
-    labels = F.split(F.regexp_replace(bare, r"^www\.", ""), r"\.")
+    """What a search box's text may mean: its host and the parents of it, most specific first.
+
+    Text that is no host name gives none.  Two labels of three and two letters at most, below others, look like a public suffix and are left out.
+    """
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(typed, F.lit("")))), r"^[a-z][a-z0-9+.-]*://", "")
+    host_ = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[/?#].*$", ""), r":\d+$", ""), r"^www\.", "")
 
     def of(ls: Column) -> Column:
-        tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls) - 1, F.lit(1))), lambda i: F.array_join(F.slice(ls, i, F.size(ls)), "."))
-        return F.filter(tails, lambda t: ~t.isin(*SECOND_LEVEL) & t.contains("."))
+        tails = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls) - 1, F.lit(1))), lambda i: F.slice(ls, i, F.size(ls)))
+        suffix = lambda t: (F.size(ls) > 2) & (F.size(t) == 2) & (F.length(t[0]) <= 3) & (F.length(t[1]) == 2)
+        return F.transform(F.filter(tails, lambda t: (F.size(t) > 1) & ~suffix(t)), lambda t: F.array_join(t, "."))
 
-    return let(labels, of)
+    valid = host_.rlike(r"^[a-z0-9.-]{1,253}$") & host_.contains(".")
+    return F.when(valid, let(F.filter(F.split(host_, r"\."), lambda x: x != ""), of)).otherwise(F.array().cast("array<string>"))
 
 
 def guessed_terms(url: Column) -> Column:
