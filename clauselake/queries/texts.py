@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import pii as P
 from ..functions import sentences as S
 from ..functions import text as T
@@ -60,6 +61,13 @@ def page_addresses(spark, sf_dir):
     )
 
 
+def page_texts(spark, sf_dir):
+    """What a reader sees of each page, and what was left out of it."""
+    p = table(spark, sf_dir, "pages").select("page_id", H.read(F.col("html")).alias("p"))
+    main = H.main_text(F.col("p"))
+    return p.select("page_id", main.alias("text"), "p.hidden", "p.markup", "p.comments", H.is_shell(F.col("p")).alias("shell"), T.legal_cues(main).cast("long").alias("cues"))
+
+
 def previous_turns(spark, sf_dir):
     """Each turn with the one before it."""
     by = Window.partitionBy("conv_id").orderBy("turn")
@@ -89,7 +97,7 @@ def normalised_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.normalised(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns)}
+QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, page_texts, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns)}
 
 KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 GRAMS = """list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)"""
