@@ -132,15 +132,20 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.where(_suffix_filter(F.col("n_a"), F.col("n_b"), F.col("cells_a"), F.col("cells_b"), percent)).select("a", "b")
 
 
-#: Classes up to this many, in 40 bytes each, are sent to every task to pick their texts; beyond that, a shuffle brings both together.
-BROADCAST_CLASSES = 500_000
+#: Keys of rows up to this many, in 40 bytes each at most, are sent to every task to pick or drop rows where their texts lie; beyond that, a shuffle brings both together.
+BROADCAST_KEYS = 500_000
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """`keys`, broadcast where they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """`pairs` (a, b; each once) of linked sets: texts of the classes in question alone are moved, and compared whole."""
     asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     asked = durable(classes.select("c", "one.doc_id", "one.t").join(asked, "c"))
-    picked = F.broadcast(asked) if asked.count() <= BROADCAST_CLASSES else asked
+    picked = _sent(asked)
     # The text of a class is that of its least row; repeated rows are one.
     texts = durable(docs.join(picked, ["doc_id", "t"]).dropDuplicates(["doc_id", "t", "c"]).select("c", "text"))
     text = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
@@ -250,10 +255,11 @@ def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataF
     repeated = members.where((F.col("n") > 0) | (F.col("doc_id") != NO_ID)).groupBy("doc_id", "t").count().where("count > 1")
     repeated = durable(repeated.select("doc_id", "t").join(gone, ["doc_id", "t"], "left_anti"))
     rows = docs.select(*key, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    kept = rows.join(gone.unionByName(repeated), ["doc_id", "t"], "left_anti")
+    # Texts are not moved for the sake of a few keys.
+    kept = rows.join(_sent(gone.unionByName(repeated)), ["doc_id", "t"], "left_anti")
     if not repeated.isEmpty():
         # Each task first drops all but one row of a key, so a row repeated everywhere is moved once a task.
         order = Window.partitionBy("doc_id", "t").orderBy("h")
-        once = rows.join(repeated, ["doc_id", "t"], "left_semi").withColumn("h", F.xxhash64("row"))
+        once = rows.join(_sent(repeated), ["doc_id", "t"], "left_semi").withColumn("h", F.xxhash64("row"))
         kept = kept.unionByName(once.withColumn("at", F.row_number().over(order)).where("at = 1").select("doc_id", "t", "row"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
