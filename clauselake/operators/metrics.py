@@ -153,3 +153,8 @@ def agreement(rows: DataFrame, a: str = "logits_a", b: str = "logits_b") -> Data
     apart = F.zip_with(a, b, lambda x, y: F.abs(x - y))
     mean = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x) / F.size(apart)
     return rows.agg(F.avg((P.argmax(F.col(a)) == P.argmax(F.col(b))).cast("double")).alias("same"), F.max(F.array_max(apart)).alias("largest"), F.avg(mean).alias("mean"))
+
+
+def flagged_shares(rows: DataFrame, kind: str, run: str, flagged: str, runs: list[str]) -> DataFrame:
+    """Of each kind, the share flagged by each of the named runs, one column a run; null where a run lacks the kind."""
+    return rows.groupBy(kind).pivot(run, runs).agg(F.avg(F.col(flagged).cast("double")))

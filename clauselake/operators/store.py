@@ -157,3 +157,12 @@ def newest_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Upsert: the last row of each key."""
     last = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+
+
+def saved_sites(saved: DataFrame, now, most: int = 50, days: int = TTL_DAYS) -> DataFrame:
+    """What a reader's own store holds after these saves (domain, saved_at): the last of each site, under `days` old, the newest `most`.
+
+    Saves that are older than another of their site, or without a site, are gone; ties go to the lesser domain.
+    """
+    fresh = saved.where(F.col("domain").isNotNull() & (F.col("saved_at") > as_time(now) - F.make_interval(days=F.lit(days))))
+    return newest_by_key(fresh, "domain", "saved_at").orderBy(F.desc("saved_at"), "domain").limit(most)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
+from ..labels import OTHER
 from ..operators import metrics as M
 from .store import table
 
@@ -75,9 +76,25 @@ def sign_hash_distances(spark, sf_dir):
     return h.crossJoin(F.broadcast(base)).select("vec_id", "hash", P.hamming(F.col("hash"), F.col("base")).cast("long").alias("distance"))  # one row on that side
 
 
+def imputed_scores(spark, sf_dir):
+    """Components of zero or less stand for scores that a model did not give."""
+    seen = F.transform(F.slice("embedding", 1, 9), lambda x: F.when(x > 0, F.round(x.cast("double"), 4)))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", seen.alias("seen"))
+    missing = F.size(F.filter("seen", lambda x: x.isNull())) / F.size("seen")
+    return v.select("vec_id", F.round(missing, 9).alias("missing"), F.posexplode(P.imputed(F.col("seen"))).alias("class", "score")).select("vec_id", F.col("class").cast("long").alias("class"), F.round("score", 4).alias("score"), "missing")
+
+
+def flagged_by_run(spark, sf_dir):
+    """Two thresholds as two runs, the gold class as the kind of page."""
+    runs = {"low": 0.2, "high": 0.6}
+    judged = scored(spark, sf_dir).select("gold", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), (P.decide(F.col("probs"), t) != OTHER).alias("flagged")) for r, t in runs.items()])).alias("x"))
+    shares = M.flagged_shares(judged.select("gold", "x.*"), "gold", "run", "flagged", list(runs))
+    return shares.select(F.col("gold").cast("long").alias("gold"), *[F.round(r, 9).alias(r) for r in runs])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (class_decisions, class_confusion, class_f1, score_summary, calibration_error, brier_score, temperature_curve, threshold_curve, threshold_plateau, bias_curve, bootstrap_intervals, label_agreement, sign_hash_distances)
+    for f in (class_decisions, class_confusion, class_f1, score_summary, calibration_error, brier_score, temperature_curve, threshold_curve, threshold_plateau, bias_curve, bootstrap_intervals, label_agreement, sign_hash_distances, imputed_scores, flagged_by_run)
 }
 
 SCORED = """
@@ -127,6 +144,14 @@ ORACLES = {
         r as (select *, sum(case when near then 0 else 1 end) over (order by threshold) as run from n), g as (select min(threshold) as low, max(threshold) as high, bool_or(best) as best from r where near group by run)
         select low, round((low + high) / 2, 9) as centre, high from g where best order by low limit 1""",
     "bias_curve": f"with {SCORED}, {curve('bias', 'list_transform(range(0, 25), lambda i: -3 + 0.25::double * i)', WITH_BIAS)} select bias, macro_f1 from curve",
+    "imputed_scores": """
+        with s as (select vec_id, list_transform(embedding[1:9], lambda x: case when x > 0 then round(cast(x as double), 4) end) as seen from embeddings)
+        select vec_id, class, round(coalesce(seen[class + 1], list_min(seen) - 1, -21), 4) as score, round(len(list_filter(seen, lambda x: x is null)) / cast(len(seen) as double), 9) as missing
+        from s, (select unnest(range(0, 9)) as class)
+    """,
+    "flagged_by_run": f"""with {SCORED}, d as (select gold, threshold, {AT_THRESHOLD} <> 6 as flagged from s, (select unnest([0.2, 0.6]) as threshold))
+        select cast(gold as bigint) as gold, round(avg(cast(flagged as double)) filter (where threshold = 0.2), 9) as low, round(avg(cast(flagged as double)) filter (where threshold = 0.6), 9) as high from d group by 1
+    """,
     "sign_hash_distances": """
         with b as (select vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) as b from embeddings), o as (select b as o from b where vec_id = 0)
         select vec_id, array_to_string(list_transform(range(0, 16), lambda i: lower(to_hex(b[4 * i + 1] * 8 + b[4 * i + 2] * 4 + b[4 * i + 3] * 2 + b[4 * i + 4]))), '') as hash,

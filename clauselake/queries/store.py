@@ -107,9 +107,15 @@ def newest_event(spark, sf_dir):
     return S.newest_by_key(e, "user_id", "event_id")
 
 
+def saved_sites(spark, sf_dir):
+    """Orders as saves; the customer stands for the site."""
+    saves = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("domain"), F.col("o_orderdate").cast("timestamp").alias("saved_at")).distinct()
+    return S.saved_sites(saves, NOW, 50, 90)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (current_results, rankings_by_count, rankings_by_share, results_history, recent_results, store_stats, purged_results, purge_counts, domains_with_results, category_histogram, missing_reports, newest_event)
+    for f in (current_results, rankings_by_count, rankings_by_share, results_history, recent_results, store_stats, purged_results, purge_counts, domains_with_results, category_histogram, missing_reports, newest_event, saved_sites)
 }
 ORACLES = {
     "current_results": f"with {RESULTS} select * from cur",
@@ -128,5 +134,9 @@ ORACLES = {
         f as (select domain, run, count(*) as reports, min(ts) as first_at, max(ts) as last_at from r group by 1, 2)
         select domain, reports, first_at, last_at, last_at + interval 2 day as expires_at from f qualify row_number() over (partition by domain order by run desc) = 1
     """,
+    "saved_sites": """
+        with s as (select o_custkey as domain, max(o_orderdate) as saved_at from orders group by 1)
+        select domain, cast(saved_at as timestamp) as saved_at from s where saved_at > timestamp '2001-03-01' - interval 90 day order by saved_at desc, domain limit 50
+    """,
     "newest_event": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
 }

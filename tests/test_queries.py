@@ -137,3 +137,16 @@ def test_empty_evaluations(spark):
     assert metrics.confusion(none).count() == 0
     assert metrics.fit_temperature(none) == 1.0
     assert metrics.bootstrap(none, 10).count() == 0
+
+
+def test_saved_sites(spark):
+    saves = [("a", "2020-01-10"), ("a", "2020-01-20"), ("b", "2019-12-01"), (None, "2020-01-20"), ("c", None), ("d", "2020-01-20")]
+    saved = spark.createDataFrame(saves, "domain string, saved_at string").withColumn("saved_at", F.col("saved_at").cast("timestamp"))
+    assert {(r.domain, r.saved_at.day) for r in store.saved_sites(saved, "2020-01-25").collect()} == {("a", 20), ("d", 20)}
+    assert [r.domain for r in store.saved_sites(saved, "2020-01-25", most=1).collect()] == ["a"]
+    assert store.saved_sites(saved.where("false"), "2020-01-25").count() == 0
+
+
+def test_flagged_shares(spark):
+    judged = spark.createDataFrame([("x", "p", True), ("x", "p", False), ("x", "q", None), ("y", "p", True)], "kind string, run string, flagged boolean")
+    assert {tuple(r) for r in metrics.flagged_shares(judged, "kind", "run", "flagged", ["p", "q"]).collect()} == {("x", 0.5, None), ("y", 1.0, None)}
