@@ -61,6 +61,12 @@ def page_addresses(spark, sf_dir):
     )
 
 
+def guessed_addresses(spark, sf_dir):
+    """Where the terms of each page's site may lie."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(U.guessed_terms(F.col("url"))).alias("place", "address"))
+    return p.select("page_id", F.col("place").cast("long").alias("place"), "address")
+
+
 def page_texts(spark, sf_dir):
     """What a reader sees of each page, and what was left out of it."""
     p = table(spark, sf_dir, "pages").select("page_id", H.read(F.col("html")).alias("p"))
@@ -97,7 +103,7 @@ def normalised_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.normalised(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, page_texts, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns)}
+QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, guessed_addresses, page_texts, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns)}
 
 KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 GRAMS = """list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)"""
@@ -153,5 +159,10 @@ ORACLES = {
         select page_id, host, path, coalesce(s || '://' || host || port || path, url) as bare, regexp_extract(host, '[^.]+\.[^.]+$') as site,
                regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') as key, s || '://' || host || port || path as policy from q
     """,
+    "guessed_addresses": f"""
+        with p as (select page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(:\\d+)?', ['s', 'h', 'p']) as x from pages),
+        t as (select {list(U.TERMS_PATHS)} as paths)
+        select page_id, cast(i as bigint) as place, lower(x.s) || '://' || lower(x.h) || x.p || paths[i + 1] as address from p, t, (select unnest(range(0, {len(U.TERMS_PATHS)})) as i) where x.h <> ''
+    """,
     "previous_turns": "select conv_id, turn, coalesce(lag(text) over (partition by conv_id order by turn), '') as prev from conversations",
 }
