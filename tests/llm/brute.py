@@ -190,3 +190,36 @@ def kneser_ney(trained, order):
         return out
 
     return score
+
+
+def runs(words, least):
+    """(start, length, period) of the maximal runs of `least` words and two periods or more."""
+    out = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q):
+                out.setdefault((i, j + q), q)
+            i = j + 1
+    return sorted((s, e - s, q) for (s, e), q in out.items())
+
+
+def kmeans(rows, k, rounds):
+    """{id: (cluster, distance)}, inertia and centroids of (id, vector) with distinct ids."""
+    order = sorted(rows, key=lambda r: hashlib.sha256(f"2:{r[0]}".encode()).hexdigest())
+    centres = [list(v) for _, v in order[:k]]
+
+    def assigned():
+        return {i: min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centres)) for i, v in rows}
+
+    for _ in range(rounds):
+        now = assigned()
+        for n in range(len(centres)):
+            own = [v for i, v in rows if now[i][1] == n]
+            if own:
+                centres[n] = [sum(x) // len(own) for x in zip(*own)]
+    now = assigned()
+    return {i: (n, d) for i, (d, n) in now.items()}, sum(d for d, _ in now.values()), centres
