@@ -1,9 +1,17 @@
 """Winnowing fingerprints, and their likeness between documents.
 
-Words are hashed in grams of K; of each window of W grams the least hash is kept, the rightmost of equals, with its
-position.  So any run of W + K - 1 words (three) that two texts share leaves a common fingerprint.  In scripts without
-spaces, and in words of more than LONG code points, each run of PIECE code points takes the place of a word.  Window minima come from
-log2(W) element-wise minima of shifted arrays, all in DataFrame functions.
+Each gram of K words has a rolling hash: the exclusive-or of its words' hashes, each rotated by its place (a cyclic
+polynomial).  Running exclusive-ors of the words, rotated by their place in the text, are computed once; a gram is what
+two of them differ in, turned back by its own place.  Of each window of grams the least hash is kept, the rightmost of
+equals, with its position.
+
+A window holds W grams in a text of 16 W grams or more, and in shorter texts the largest power of two that is a 16th of
+the grams or less, one at least.  So any run of W + K - 1 words (nine) that two texts share leaves a common mark, in
+texts of under 32 grams any K words do, and long texts keep two marks for W + 1 grams.  The marks of a wide window are
+among those of a narrower one, and are found from them by their positions: `likeness` compares at the wider window of the two.
+
+In scripts without spaces, and in words of more than LONG code points, each run of PIECE code points takes the place of
+a word.  All in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -11,14 +19,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .native import indices, let, words
+from .native import indices, let, running_xor, words
 
-K, W = 2, 2
+K, W = 2, 8
+#: Windows of a gram's length in a text: one of w grams needs so many times w.
+GRAMS_A_WINDOW = 16
 LONG, PIECE = 64, 3
 #: What is written without spaces: Han, kana, Thai, Lao, Khmer, Burmese.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Documents of a bucket on average; up to this many buckets, the table of their first documents is broadcast, beyond that it is joined by a shuffle.
 BUCKET_ROWS, BROADCAST_BUCKETS, QUANTILES = 1000, 65_536, 256
+#: An id of more rows than so many buckets hold is dealt out by the hash of the text.
+FULL = 4
 
 
 def _least_with(values: Column, step: int) -> Column:
@@ -26,6 +38,10 @@ def _least_with(values: Column, step: int) -> Column:
     return let(values, lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + step))))
 
 
+def _where_wider(values: Column, wide: Column, step: int) -> Column:
+    return let(values, lambda v: F.when(wide > step, _least_with(v, step)).otherwise(v))
+
+
 def units(text: Column) -> Column:
     """The words of a text; of one without spaces inside, all its runs of PIECE code points."""
     runs = lambda cs: F.transform(indices(F.size(cs) - (PIECE - 1)), lambda i: F.concat(*[F.get(cs, i + j) for j in range(PIECE)]))
@@ -35,47 +51,99 @@ def units(text: Column) -> Column:
     return F.when(some, F.flatten(F.transform(words(text), cut))).otherwise(words(text))
 
 
+def _rotated(x: Column, by: Column) -> Column:
+    """The 64 bits of x turned left."""
+    turn = lambda n: F.pmod(n, F.lit(64)).cast("int")
+    return F.call_function("shiftleft", x, turn(by)).bitwiseOR(F.call_function("shiftrightunsigned", x, turn(-by)))
+
+
+def grams(ws: Column, k: int) -> Column:
+    """Rolling hash of each k words in a row; of all words where there are fewer."""
+
+    def of(running: Column) -> Column:
+        n = F.size(running)
+        count = F.when(n == 0, 0).otherwise(F.greatest(n - (k - 1), F.lit(1)))
+        # Word j is rotated by -j in the running values; its place in the gram at i turns it by k - 1 - (j - i).
+        part = lambda i: F.get(running, F.least(i + (k - 1), n - 1)).bitwiseXOR(F.when(i > 0, F.get(running, i - 1)).otherwise(F.lit(0).cast("long")))
+        return F.transform(indices(count), lambda i: _rotated(part(i), i + (k - 1)))
+
+    placed = F.transform(ws, lambda w, j: _rotated(F.xxhash64(w), -j))
+    return let(running_xor(placed), of)
+
+
+def window(count: Column, w: int) -> Column:
+    """Grams of a window in a text of `count` grams."""
+    out, step = F.lit(1), 2
+    while step <= w:
+        out, step = F.when(count >= GRAMS_A_WINDOW * step, step).otherwise(out), step * 2
+    return out
+
+
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
-    """array<struct<hash: long, pos: int>> by position; w is a power of two.
+    """struct<grams: int, marks: array<struct<hash: long, pos: int>>>: the number of grams, and the marks by position; w is a power of two.
 
-    Fewer than k words (or units): the whole sequence is one gram; no words or a null text: no fingerprint.  Fewer grams than w:
-    one window.
+    Fewer than k words (or units): the whole sequence is one gram; no words or a null text: no grams and no marks.
     """
     if w & (w - 1) or w < 1:
         raise ValueError("w must be a power of two")
     last = 2**31 - 1
-    gram = lambda ws, i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)])
 
-    def of(ws: Column) -> Column:
-        n = F.size(ws)
-        grams = F.when(n == 0, 0).otherwise(F.greatest(n - (k - 1), F.lit(1)))
+    def of(hashes: Column) -> Column:
+        wide = window(F.size(hashes), w)
         # 32 bits of hash above the reversed position: the least of a window is its rightmost least hash.
-        keyed = F.transform(indices(grams), lambda i: F.shiftleft(gram(ws, i).bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR((F.lit(last) - i).cast("long")))
-        least = keyed
+        least = F.transform(hashes, lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR((F.lit(last) - i).cast("long")))
         step = 1
         while step < w:
-            least = _least_with(least, step)
+            least = _where_wider(least, wide, step)
             step *= 2
-        least = let(least, lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - (w - 1), F.lit(1))))
+        least = let(least, lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - (wide - 1), F.lit(0))))
         pos = F.transform(F.array_distinct(least), lambda v: (F.lit(last) - v.bitwiseAND(F.lit(last))).cast("int"))
-        return F.transform(pos, lambda p: F.named_struct(F.lit("hash"), gram(ws, p), F.lit("pos"), p))
+        marks = F.transform(pos, lambda p: F.named_struct(F.lit("hash"), F.get(hashes, p), F.lit("pos"), p))
+        return F.named_struct(F.lit("grams"), F.size(hashes), F.lit("marks"), marks)
 
-    return let(units(text), of)
+    return let(grams(units(text), k), of)
 
 
-def written(marks: Column) -> Column:
+def written(fp: Column) -> Column:
     """hash@position of each mark, comma-joined."""
-    return F.array_join(F.transform(marks, lambda m: F.concat(F.hex(m["hash"]), F.lit("@"), m["pos"].cast("string"))), ",")
+    return F.array_join(F.transform(fp["marks"], lambda m: F.concat(F.hex(m["hash"]), F.lit("@"), m["pos"].cast("string"))), ",")
+
 
+def widened(fp: Column, wide: Column) -> Column:
+    """The marks that windows of `wide` grams leave of a fingerprint with windows of as many or fewer.
+
+    A mark is the rightmost least of a window if one fits between the nearest lesser mark before it and the nearest
+    lesser or equal one after it.
+    """
+    low = lambda m: m["hash"].bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def of(marks: Column) -> Column:
+        def stays(m: Column, i: Column) -> Column:
+            # Marks further away leave room in any case.
+            near = F.slice(marks, F.greatest(i - wide, F.lit(0)) + 1, 2 * wide + 1)
+            places = lambda keep: F.transform(F.filter(near, keep), lambda x: x["pos"])
+            before = F.coalesce(F.array_max(places(lambda x: (x["pos"] < m["pos"]) & (low(x) < low(m)))), F.lit(-1))
+            after = F.coalesce(F.array_min(places(lambda x: (x["pos"] > m["pos"]) & (low(x) <= low(m)))), fp["grams"])
+            return after - before - 1 >= F.least(wide, fp["grams"])
+
+        return F.filter(marks, stays)
+
+    return let(fp["marks"], of)
+
+
+def likeness(a: Column, b: Column, w: int = W) -> Column:
+    """Jaccard of the hashes of two fingerprints, at the wider window of the two: 1 where both are empty, 0 where one is."""
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard of the hashes: 1 for two empty fingerprints, 0 for one."""
     def of(x: Column, y: Column) -> Column:
         common = F.size(F.array_intersect(x, y)).cast("double")
         return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(common / (F.size(x) + F.size(y) - common))
 
-    hashes = lambda m: F.array_distinct(F.transform(m, lambda s: s["hash"]))
-    return let(hashes(a), lambda x: let(hashes(b), lambda y: of(x, y)))
+    def at(wide: Column) -> Column:
+        marks = lambda fp: F.when(window(fp["grams"], w) == wide, fp["marks"]).otherwise(widened(fp, wide))
+        hashes = lambda fp: F.array_distinct(F.transform(marks(fp), lambda m: m["hash"]))
+        return let(hashes(a), lambda x: let(hashes(b), lambda y: of(x, y)))
+
+    return let(F.greatest(window(a["grams"], w), window(b["grams"], w)), at)
 
 
 def bucketed(docs: DataFrame, id_col: str) -> tuple[Column, int]:
@@ -86,31 +154,53 @@ def bucketed(docs: DataFrame, id_col: str) -> tuple[Column, int]:
     edges = sorted({low, *marks}) + [high + 1]
     parts = max(1, -(-(-(-n // BUCKET_ROWS)) // (len(edges) - 1)))
     firsts = F.array(*[F.lit(int(e)).cast("long") for e in edges])
-    at = let(firsts, lambda f: let(F.size(F.filter(f, lambda e: e <= F.col(id_col))), lambda q: (q - 1) * parts + F.floor((F.col(id_col) - F.element_at(f, q)) * parts / (F.element_at(f, q + 1) - F.element_at(f, q)))))
+    at = let(firsts, lambda f: let(F.size(F.filter(f, lambda e: e <= F.col(id_col))), lambda q: (q - 1) * parts + F.floor((F.col(id_col) - F.get(f, q - 1)) * parts / (F.get(f, q) - F.get(f, q - 1)))))
     return F.coalesce(at.cast("long"), F.lit(-1).cast("long")), parts * (len(edges) - 1)
 
 
+def parted(docs: DataFrame, bucket: Column) -> DataFrame:
+    """`docs` (id, hash of the text, others) with `bucket` and, where one id (or none) has very many rows, its `part` of the range of hashes."""
+    docs = docs.withColumn("bucket", bucket)
+    full = docs.groupBy("bucket").count().where(F.col("count") > FULL * BUCKET_ROWS).select("bucket")
+    if full.isEmpty():
+        return docs.withColumn("part", F.lit(0).cast("long"))
+    # An id of more than FULL buckets of rows: a 4,000th of all ids at most.
+    many = docs.join(full, "bucket", "left_semi").groupBy(F.col("id").alias("_id")).agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("_parts")).where(F.col("_parts") > FULL)
+    many = F.broadcast(many) if many.count() <= BROADCAST_BUCKETS else many
+    place = F.floor((F.shiftrightunsigned(F.col("hash"), 11).cast("double") / 2.0**53) * F.coalesce("_parts", F.lit(1)))
+    return docs.join(many, F.col("id").eqNullSafe(F.col("_id")), "left").withColumn("part", place.cast("long")).drop("_id", "_parts")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text and fp of each document with next_text and next_fp of the next by descending id (after the last: the first).
 
     Texts move once, to the bucket of their id.  The first document of each bucket is also sent to the bucket before
-    it, so no bucket needs another.  Null ids come last, equal ids by a hash of their text.  One document is its own
+    it, so no bucket needs another.  Null ids come last, equal ids by a hash of their text, and an id (or none) of very
+    many rows has a bucket for each part of the range of hashes.  One document is its own
     next; a null text is empty.
     """
     docs = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     bucket, buckets = bucketed(docs, "id")
-    heads = docs.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("id"))
-    down = Window.orderBy(F.desc("bucket"))
-    heads = heads.withColumn("to", F.coalesce(F.lag("bucket").over(down), F.last("bucket").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    heads = heads.select(F.col("bucket").alias("_b"), F.col("id").alias("_head"), "to")
-    heads = F.broadcast(heads) if buckets <= BROADCAST_BUCKETS else heads
-    rows = docs.withColumn("bucket", bucket).join(heads, F.col("id").eqNullSafe(F.col("_head")) & (F.col("bucket") == F.col("_b")), "left")
-    place = lambda extra, bucket: F.named_struct(F.lit("extra"), F.lit(extra), F.lit("bucket"), F.col(bucket))
-    places = F.array_compact(F.array(place(0, "bucket"), F.when(F.col("to").isNotNull(), place(1, "to"))))
-    rows = rows.select("id", "text", places.alias("places")).select("id", "text", F.explode("places").alias("at")).select("id", "text", "at.bucket", "at.extra")
+    # The unsigned hash, for ranges; ascending order needs the sign bit turned.
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    turned = F.col("hash").bitwiseXOR(F.lit(-(2**63)))
+    keys = parted(hashed.drop("text"), bucket)
+    heads = keys.groupBy("bucket", "part").agg(F.min(F.struct(F.bitwise_not("id").alias("down"), turned.alias("turned"))).alias("head"))
+    down = Window.orderBy(F.desc("bucket"), "part")
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.struct("bucket", "part")
+    heads = heads.withColumn("to", F.coalesce(F.lag(at).over(down), F.last(at).over(whole)))
+    heads = heads.select(F.col("bucket").alias("_b"), F.col("part").alias("_p"), F.col("head.down").alias("_down"), F.col("head.turned").alias("_turned"), "to")
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_BUCKETS else heads
+    here = (F.col("bucket") == F.col("_b")) & (F.col("part") == F.col("_p"))
+    rows = parted(hashed, bucket)
+    rows = rows.join(heads, here & F.bitwise_not("id").eqNullSafe(F.col("_down")) & (turned == F.col("_turned")), "left")
+    place = lambda extra, at: F.named_struct(F.lit("extra"), F.lit(extra), F.lit("bucket"), at["bucket"], F.lit("part"), at["part"])
+    places = F.array_compact(F.array(place(0, at), F.when(F.col("to").isNotNull(), place(1, F.col("to")))))
+    rows = rows.select("id", "text", "hash", places.alias("places")).select("id", "text", "hash", F.explode("places").alias("at")).select("id", "text", "hash", "at.*")
     # Fingerprints are made where the texts arrive, as they take more room than the words they are of.
-    rows = rows.repartition("bucket").withColumn("fp", fingerprint(F.col("text")))
-    order = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("id"), F.xxhash64("text"))
+    rows = rows.repartition("bucket", "part").withColumn("fp", fingerprint(F.col("text")))
+    order = Window.partitionBy("bucket", "part").orderBy("extra", F.desc_nulls_last("id"), turned)
     return rows.select("id", "text", "fp", "extra", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).where("extra = 0").drop("extra")
 
 

@@ -105,31 +105,35 @@ def secrets(text):
     return sorted(found)
 
 
-def chained_hash(parts):
+def word_hash(word):
     import xxhash
 
-    h = 42
-    for p in parts:
-        if p is not None:
-            h = xxhash.xxh64_intdigest(p.encode(), h)
-    return h - (1 << 64) if h >> 63 else h
+    return xxhash.xxh64_intdigest(word.encode(), 42)
 
 
-def winnow(text, k, w):
-    """[(hash, position)]: the rightmost least of each window of w grams."""
+def winnow(text, k, w, wide=None):
+    """(grams, [(hash, position)]): the rightmost least of each window, of `wide` grams or as many as the rule says."""
     ws = words(text)
     if not ws:
-        return []
+        return 0, []
     n = max(1, len(ws) - k + 1)
-    grams = [chained_hash((ws + [None] * k)[i : i + k] if len(ws) < k else ws[i : i + k]) for i in range(n)]
+    turn = lambda x, r: (x << r % 64 | x >> -r % 64) & (1 << 64) - 1 if r % 64 else x
+    grams = []
+    for i in range(n):
+        g = 0
+        for j, word in enumerate(ws[i : i + k]):
+            g ^= turn(word_hash(word), k - 1 - j)
+        grams.append(g)
+    if wide is None:
+        wide = max(x for x in (1, 2, 4, 8, 16) if x == 1 or x <= w and n >= 16 * x)
     low = [g & 0xFFFFFFFF for g in grams]
     out = []
-    for i in range(max(1, n - w + 1)):
-        window = range(i, min(n, i + w))
+    for i in range(max(1, n - wide + 1)):
+        window = range(i, min(n, i + wide))
         at = min(window, key=lambda j: (low[j], -j))
         if at not in out:
             out.append(at)
-    return [(grams[i], i) for i in out]
+    return n, [(grams[i], i) for i in out]
 
 
 def token_pieces(text, tokenizer, size=2048, end=1):

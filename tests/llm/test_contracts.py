@@ -101,21 +101,33 @@ def test_op7(spark):
 def test_op8(spark, tiny, docs):
     got = {r.doc_id: r for r in queries.op8_winnowing(spark, tiny).collect()}
     order = sorted(docs, key=lambda d: -d[0])
-    written = lambda marks: ",".join(f"{h & (1 << 64) - 1:X}@{p}" for h, p in marks)
-
-    def like(a, b):
-        a, b = {h for h, _ in a}, {h for h, _ in b}
+    written = lambda marks: ",".join(f"{h:X}@{p}" for h, p in marks)
+    k, w = winnowing.K, winnowing.W
+    sizes = lambda n: max(x for x in (1, 2, 4, 8) if x == 1 or n >= 16 * x)
+    differ = 0
+
+    def like(x, y):
+        nonlocal differ
+        a, b = sizes(brute.winnow(x, k, w)[0]), sizes(brute.winnow(y, k, w)[0])
+        differ += a != b
+        a, b = ({h for h, _ in brute.winnow(t, k, w, max(a, b))[1]} for t in (x, y))
         return 1.0 if not a | b else len(a & b) / len(a | b)
 
+    words = written_bytes = text_bytes = 0
     for at, (i, text, _) in enumerate(order):
         text, after = text or "", order[(at + 1) % len(order)][1] or ""
         half = len(text) // 2
         new = text[: len(text) - half] + after[:half]
-        own, edited, other = (brute.winnow(t, winnowing.K, winnowing.W) for t in (text, new, after))
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(new.encode()).hexdigest())
+        own, edited = brute.winnow(text, k, w)[1], brute.winnow(new, k, w)[1]
         assert (r.fingerprint, r.edited_fingerprint) == (written(own), written(edited))
-        assert r.near_edited == pytest.approx(like(own, edited)) and r.near_next == pytest.approx(like(own, other))
+        assert r.near_edited == pytest.approx(like(text, new)) and r.near_next == pytest.approx(like(text, after))
+        if len(brute.words(text)) > 300:
+            assert len(own) < len(brute.words(text)) / 3
+            written_bytes, text_bytes = written_bytes + len(r.fingerprint), text_bytes + len(text.encode())
+            words += 1
+    assert differ > 20 and words > 20 and written_bytes < text_bytes
 
 
 def check_packed(rows, tokens, size=2048):
