@@ -22,8 +22,10 @@ from .common import discard, durable
 SAMPLE = 2048
 #: Rows of a part, queries of a block, annuli that a query opens in the first round.
 PART_ROWS, BLOCK_QUERIES, FIRST = 4096, 256, 8
-#: Inner products up to this are exact in doubles; up to 2**63 they are computed in integers.
-DOUBLES = 2.0**53
+#: Inner products below the first are exact in doubles, below the second in longs; others are computed in integers of any size.
+DOUBLES, LONGS = 2.0**53, 2.0**63
+#: Rows found that a task holds before it keeps the k best of each query.
+HELD = 200_000
 STATE = "block long, qids binary, qvecs binary, scores binary, ids binary, opened binary, next int, waiting int"
 FOUND = "block long, query int, vec_id long, score long"
 
@@ -41,7 +43,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     opened is the number of rows whose score was computed for the query.  `vectors` has id and vec, integers (see
     `quantized`).  A row is a candidate of all queries of its length but those with its id; rows without components
     score 0.  Repeated ids are candidates each, and a repeated query gets the best of all its rows.  Fewer rows than
-    k: all of them.  No rows or no queries: an empty result.  An error where inner products may pass 2**63.
+    k: all of them.  No rows or no queries: an empty result.  Scores are exact, however long a vector; an error where
+    one of the result does not fit a long.
     """
     spark = vectors.sparkSession
     # One row per vector length: each length is a space of its own.
@@ -56,6 +59,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "opened")
 
 
+#: Stands for scores from here on, of either sign.
+FAR = 2**63 - 1
+
+
+def _products(q: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+    """Inner products, exact; those that do not fit a long are FAR or -FAR."""
+    longest = [float((x.astype(np.float64) ** 2).sum(1).max(initial=0)) ** 0.5 for x in (q, vecs)]
+    # A norm bounds the partial sums of products of any order.
+    most = longest[0] * longest[1] * (1 + 1e-9)
+    if most < DOUBLES:
+        return (q.astype(np.float64) @ vecs.astype(np.float64).T).astype(np.int64)
+    if most < LONGS:
+        return q @ vecs.T
+    wide = q.astype(object) @ vecs.astype(object).T
+    return np.clip(wide, -FAR, FAR).astype(np.int64)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, ties to smaller ids."""
     near = np.arange(len(scores))
@@ -105,9 +125,6 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
     # SAMPLE rows at most come to the driver.
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     total, high = vectors.agg(F.count(F.lit(1)), F.max(norm)).first()
-    if high >= 2.0**63:
-        raise ValueError("inner products may pass 2**63")
-    kind = np.float64 if high < DOUBLES else np.int64
     sphere = _Sphere(np.array([r["vec"] for r in sample], np.float64).reshape(len(sample), dim), high, total)
     width = np.pi / 32
 
@@ -148,7 +165,9 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
 
     def floors(scores: np.ndarray, counted: np.ndarray) -> np.ndarray:
         """Each query's k-th score so far: annuli below it stay shut."""
-        return np.where(counted[:, 0] >= k, scores[:, k - 1].astype(np.float64), -np.inf)
+        last = scores[:, k - 1].astype(np.float64)
+        # Beyond 2**53 a double may lie above the score.
+        return np.where(counted[:, 0] >= k, np.where(np.abs(last) < DOUBLES, last, np.nextafter(last, -np.inf)), -np.inf)
 
     def order(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Annuli of each query, the most promising first, and their bounds."""
@@ -174,19 +193,41 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
         return state.mapInPandas(of, "pivot int, annulus int, block long, which binary, qids binary, qvecs binary, floors binary")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        looked: dict[tuple[int, int], int] = {}
+
+        def kept() -> pd.DataFrame:
+            """Of all that the task holds, the k best rows of each query, and how many were looked at for it: there the id is no id."""
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows[:, 2], -rows[:, 3], rows[:, 1], rows[:, 0]))]
+            new = np.append(True, (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0))[: len(rows)]
+            at = np.arange(len(rows))
+            rows = rows[at - np.maximum.accumulate(np.where(new, at, 0)) < k]
+            counts = np.array([(block, query, 0, n) for (block, query), n in looked.items()], np.int64)
+            held.clear()
+            looked.clear()
+            out = pd.DataFrame(np.concatenate([rows, counts]), columns=["block", "query", "vec_id", "score"]).astype({"vec_id": "Int64"})
+            out.loc[len(rows) :, "vec_id"] = None
+            return out
+
         for b in batches:
             for x in b.itertuples():
                 got, own, which = (np.frombuffer(y, np.int64) for y in (x.ids, x.qids, x.which))
-                vecs, q = (np.frombuffer(y, "<i8").reshape(n, dim).astype(kind) for y, n in ((x.vecs, len(got)), (x.qvecs, len(own))))
-                scores, floor = (q @ vecs.T).astype(np.int64), np.frombuffer(x.floors)
+                vecs, q = (np.frombuffer(y, "<i8").reshape(n, dim) for y, n in ((x.vecs, len(got)), (x.qvecs, len(own))))
+                scores, floor = _products(q, vecs), np.frombuffer(x.floors)
                 found = []
                 for i, row in enumerate(scores):
                     other = np.flatnonzero(got != own[i])
                     near = other[row[other] >= floor[i]]
                     best = near[_best(row[near], got[near], k)]
                     # A first row says how many were looked at: its id is no id.
-                    found += [(x.block, which[i], None, len(other)), *((x.block, which[i], got[j], row[j]) for j in best)]
-                yield pd.DataFrame(found, columns=["block", "query", "vec_id", "score"]).astype({"vec_id": "Int64"})
+                    looked[x.block, which[i]] = looked.get((x.block, which[i]), 0) + len(other)
+                    found += [(x.block, which[i], got[j], row[j]) for j in best]
+                held.append(np.array(found, np.int64).reshape(-1, 4))
+                if sum(map(len, held)) + len(looked) > HELD:
+                    yield kept()
+        if looked:
+            yield kept()
 
     def merged(many: int):
         def of(old: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -227,6 +268,8 @@ def _top_k(vectors: DataFrame, is_query: Column, k: int, dim: int) -> DataFrame:
             for x in b.itertuples():
                 own, _, scores, ids, counted = read(x)
                 place, slot = np.nonzero(np.arange(k)[None, :] < counted[:, :1])
+                if np.isin(scores[place, slot], (FAR, -FAR)).any():
+                    raise OverflowError("a score of the result does not fit a long")
                 yield pd.DataFrame({"query_id": own[place], "vec_id": ids[place, slot], "score": scores[place, slot], "opened": counted[place, 1]})
 
     out = done[0] if done else state

@@ -47,5 +47,24 @@ def test_large_components(spark):
     big = 2_560_000_000 // 2
     rows = [(0, [big, 1]), (1, [big, 2]), (2, [big, 3]), (3, [-big, 0]), (4, [big - 1, 7])]
     assert got(spark, rows)[0] == want(rows)
-    with pytest.raises(ValueError):
-        got(spark, [(0, [4_000_000_000, 0]), (1, [1, 1])])
+    # One vector whose square passes 2**63: the scores asked for do not.
+    rows = [(0, [4_000_000_000, 0]), (1, [1, 1]), (50, [-3, 2]), (2, [4_000_000_000, 5])]
+    assert got(spark, [rows[0], rows[1], rows[2]])[0] == want(rows[:3])
+    rng = np.random.default_rng(3)
+    rows = [(0, [2_560_000_000] * 64), *((i, rng.integers(-128, 128, 64).tolist()) for i in range(1, 400))]
+    assert got(spark, rows)[0] == want(rows)
+    with pytest.raises(Exception, match="does not fit a long"):
+        got(spark, [(0, [4_000_000_000, 0]), (1, [4_000_000_000, 0])])
+
+
+def test_ties_beyond_doubles(spark):
+    rows = [(i, [2**30 + 1, 2**25 + i // 3]) for i in range(60)]
+    assert got(spark, rows)[0] == want(rows)
+
+
+def test_found_rows_are_merged_in_their_task(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "PART_ROWS", 5)
+    monkeypatch.setattr(exact_topk, "HELD", 7)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(-9, 9, 3).tolist()) for i in range(300)]
+    assert got(spark, rows)[0] == want(rows)
