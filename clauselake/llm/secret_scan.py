@@ -7,9 +7,10 @@ uniformity, runs above and below the middle, and serial correlation at lag one;
 least of the three.  Pieces of letters of one case can be plain words, so these have a fourth test, of the share of
 letters that are common in words, and four times the least.
 Random tokens have p spread evenly over 0 to 1, structured ones have p near 0.  So for each encoding and class of
-lengths the counts of p above one half tell how many random tokens there are, and the least threshold is taken whose
-estimated share of structured tokens among those that pass stays below `fdr`.  Classes of fewer than FEW tokens are no
-ground for an estimate: there P_FEW is the threshold.  Of nested pieces that pass, the longest counts.  Only DataFrame functions are used, and
+lengths the counts of p above one half tell how many random tokens there are: an upper bound of that number, DEVIATIONS
+standard deviations of a count above it.  The least threshold, P_LEAST or more, is taken whose share of structured
+tokens among those that pass may then be below `fdr`.  The bound is wide where a class holds few random tokens, in a
+small corpus as in a large one, and close to the estimate where it holds many.  Of nested pieces that pass, the longest counts.  Only DataFrame functions are used, and
 no row is shuffled: the counts (a few hundred) are the only thing gathered.
 """
 
@@ -31,8 +32,8 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 TOKEN = 20
 TOKENS = "[A-Za-z0-9+/_=-]{%d,}" % TOKEN
 P_BINS, FDR = 40, 0.05
-#: With fewer tokens, the estimated number of random ones is off by more than about FDR (its relative deviation is 0.85 over the root of their number).
-FEW, P_FEW = 400, 0.05
+#: How far the bound of a count lies above it, in its standard deviations; the least threshold.
+DEVIATIONS, P_LEAST = 3.0, 0.05
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -150,6 +151,11 @@ def above(x: float, tests: int = 3) -> float:
     return (1 - x / tests) ** tests
 
 
+def at_most(count: int) -> float:
+    """Upper bound of the mean of a Poisson count."""
+    return count + DEVIATIONS**2 / 2 + DEVIATIONS * (count + DEVIATIONS**2 / 4) ** 0.5
+
+
 def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dict[tuple[int, int], float]:
     """Least p that passes, for each encoding and length class; counts over all documents, at most 9 x 13 x P_BINS rows."""
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -160,12 +166,9 @@ def thresholds(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> dic
         counts.setdefault((r["code"], r["len"]), [0] * P_BINS)[r["cell"]] = r["count"]
     out = {}
     for key, cells in counts.items():
-        if sum(cells) < FEW:
-            out[key] = P_FEW
-            continue
         tests = 4 if key[0] in (CODES["lower"], CODES["upper"]) else 3
-        random = sum(cells[P_BINS // 2 :]) / above(0.5, tests)
-        for i in range(1, P_BINS // 2 + 1):
+        random = at_most(sum(cells[P_BINS // 2 :])) / above(0.5, tests)
+        for i in range(round(P_LEAST * P_BINS), P_BINS // 2 + 1):
             passing = sum(cells[i:])
             expected = random * above(i / P_BINS, tests)
             if passing and 1 - expected / passing <= fdr:

@@ -64,3 +64,22 @@ def test_nested(spark):
     value = "/".join(draw(rng, B62, 24) for _ in range(3))
     (found,) = spans(spark, [f"X={value}"])
     assert found == [(value, "random")]
+
+
+def test_harmless_names_hide_no_secret(spark):
+    """Five random tokens among structured names of their class: as many are found beside 420 names as beside 350 or 60."""
+    rng = random.Random(11)
+    parts = ("account", "Balance", "History", "View", "Controller", "Factory", "request", "Handler", "Default", "Service", "Manager", "Config", "Abstract", "Session", "Token9", "Index2")
+    names = []
+    while len(names) < 420:
+        name = "".join(rng.choices(parts, k=6))[:32]
+        if len(name) == 32:
+            names.append(name)
+    secrets = [draw(rng, B62, 32) for _ in range(5)]
+    counts = []
+    for many in (60, 350, 420):
+        found = spans(spark, [f"call {n} now" for n in names[:many]] + [f"it is {v} here" for v in secrets])
+        counts.append((sum(bool(f) for f in found[many:]), sum(bool(f) for f in found[:many])))
+    print(counts)
+    assert all(hits >= 4 for hits, _ in counts) and len({hits for hits, _ in counts}) == 1, counts
+    assert all(false <= 8 for _, false in counts), counts
