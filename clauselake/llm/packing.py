@@ -27,6 +27,9 @@ SIZE = 2048
 CACHED_WORDS, TOGETHER = 300_000, 64
 #: Text bytes that go to a worker at once.
 BATCH_BYTES = 8_000_000
+#: What a tokenizer is tried on: words of several scripts, marks, digits and symbols, with white space between and punctuation after them.
+PROBES = ("the", "Words", "McDonald", "don't", "x", "ABC123", "12,5", "3.14", "e-mail", "a/b", "(see", "end)", "https://a.net/b?c=d", "über", "éa", "naïve", "Ωμέγα", "привет", "漢字かな", "한국어", "ไทย", "हिन्दी", "🙂", "👩‍👩‍👧", "e\u0301", "_", "##", "$5", "--", "…", "\u200b", "\xa0", "<s>", "[UNK]", "\\n", "'s", "n't", "I'll", "\ufffd")
+SPACES, ENDS = (" ", "\n", "  ", "\t", "\r\n", " \n\n", "\x0b", "\x0c"), ".,!?;:"
 BUCKET_ROWS = 8192
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -34,9 +37,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 class WordTokens:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    White space never joins two tokens of this tokenizer, so words are encoded, and remembered, one by one; new words
-    go to it in one call, joined by blanks, and token offsets tell them apart.  Closing ASCII punctuation after an
-    ASCII letter is never part of the letters' tokens, and case is folded: so such words share what is known.
+    Where white space never joins two tokens, words are encoded, and remembered, one by one; new words go to the
+    tokenizer in one call, joined by blanks, and token offsets tell them apart.  Where closing ASCII punctuation after
+    an ASCII letter is never part of the letters' tokens, and where case is folded, such words share what is known.
+    Each of the three is tried on PROBES when the file is read; a tokenizer that fails the first gets whole texts.
+    Bytes that are no UTF-8 are read as U+FFFD.
     """
 
     def __init__(self, path: str):
@@ -44,6 +49,13 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.old = Tokenizer.from_file(path), {}, {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        alone = {w: ids(w) for w in PROBES}
+        pairs = [(v, space, w) for n, v in enumerate(PROBES) for m, w in enumerate(PROBES) for space in SPACES[(n + m) % len(SPACES) :][:2]]
+        self.by_word = all(ids(v + space + w) == alone[v] + alone[w] for v, space, w in pairs) and ids(" \n\t ") == []
+        plain = [w for w in PROBES if w.isascii() and w[-1].isalpha()]
+        self.ends_apart = all(ids(w + end) == alone[w] + ids(end) for w in plain for end in (*ENDS, "...", "?!", ",."))
+        self.folds = all(ids(v) == alone[w] for w in PROBES if w.isascii() for v in (w.lower(), w.upper(), w.title()))
 
     @classmethod
     def of_worker(cls, path: str) -> WordTokens:
@@ -56,7 +68,7 @@ class WordTokens:
     def encode(self, parts: list[bytes]) -> None:
         for i in range(0, len(parts), 4096):
             some = parts[i : i + 4096]
-            texts = [p.decode() for p in some]
+            texts = [p.decode(errors="replace") for p in some]
             e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             ids, at = np.array(e.ids, "<u4").tobytes(), np.array([x for x, _ in e.offsets], np.int64)
             cuts = (np.searchsorted(at, np.cumsum([0] + [len(t) + 1 for t in texts])) * 4).tolist()
@@ -83,9 +95,9 @@ class WordTokens:
         for t in texts:
             every.update(t)
         new = self.unknown(every)
-        cores = [w.rstrip(b".,!?;:") for w in new]
+        cores = [w.rstrip(ENDS.encode()) for w in new] if self.ends_apart else new
         cores = [c if c[-1:].isalpha() else w for c, w in zip(cores, new, strict=True)]
-        keys = [c.lower() for c in cores]
+        keys = [c.lower() for c in cores] if self.folds else cores
         tails = [w[len(c) :] for c, w in zip(cores, new, strict=True)]
         self.words[b""] = b""
         self.encode(self.unknown({*keys, *tails}))
@@ -95,9 +107,17 @@ class WordTokens:
     def __call__(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.words.__getitem__, words))
 
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.by_word:
+            return [np.array(self.tokenizer.encode(t.decode(errors="replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        words = [t.split() for t in texts]  # at ASCII white space only
+        self.learn(words)
+        return [self(w) for w in words]
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 1) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of each piece; a null text is empty and has just the end id."""
+    """doc_id, start, length, ids_crc32, doc_tokens of each piece; a null text is empty and has just the end id; bytes that are no UTF-8 are read as U+FFFD."""
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +126,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
             for at in range(0, batch.num_rows, TOGETHER):
                 out: list[list] = [[], [], [], [], []]
                 some = batch.slice(at, TOGETHER)
-                texts = [(x or b"").split() for x in some.column(1).cast(pa.binary()).to_pylist()]  # at ASCII white space only
-                tokens.learn(texts)
-                for doc, text in zip(some.column(0).to_pylist(), texts, strict=True):
-                    ids = tokens(text) + end
+                texts = [x or b"" for x in some.column(1).cast(pa.binary()).to_pylist()]
+                for doc, ids in zip(some.column(0).to_pylist(), tokens.texts(texts), strict=True):
+                    ids += end
                     n = len(ids) // 4
                     for start in range(0, n, size):
                         piece = ids[4 * start : 4 * (start + size)]
