@@ -66,7 +66,7 @@ def mix_sources(
     taken = whole epochs times size, plus what the last, partial epoch takes: rows in key order up to the budget, the
     row at the cut in part.  So each source's taken words are its target, rounded.
     Null text or size counts 0; a null source is a source of its own, last; rows without words take 0; repeated rows
-    each count, and rows of one id and size are put in order by a hash of their text; an empty table gives an empty one.  Columns outside `keep` don't matter, whatever their names.
+    each count, and a hash of the text tells rows of one id and size apart; an empty table gives an empty one.  Columns outside `keep` don't matter, whatever their names.
     """
     size = F.coalesce(size.cast("long"), F.lit(0)) if size is not None else word_count(docs[text_col])
     n = buckets_for(docs.count(), BUCKET_ROWS)
@@ -79,7 +79,7 @@ def mix_sources(
         docs[id_col].alias("_id"),
         F.xxhash64(docs[text_col].cast("string")).alias("_text"),
     )
-    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), "_id", "_size")).withColumn("_bucket", range_bucket(F.col("_key"), n))
+    rows = rows.withColumn("_key", F.xxhash64(F.lit(seed), "_id", "_size", "_text")).withColumn("_bucket", range_bucket(F.col("_key"), n))
     sums = rows.groupBy("_null", "_src", "_bucket").agg(F.sum("_size").alias("_sum"))
     sources = source_targets(sums.groupBy("_null", "_src").agg(F.sum("_sum").alias("_source_size")), weights, max_epochs)
     budget = F.least(F.round("_target").cast("long"), F.col("_source_size") * max_epochs)
