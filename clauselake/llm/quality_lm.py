@@ -150,6 +150,8 @@ def _log_p(wanted: DataFrame, counts: DataFrame, order: int) -> DataFrame:
             F.sum("n").alias("_sum"),
             (one * F.sum((F.col("n") == 1).cast("long")) + two * F.sum((F.col("n") == 2).cast("long")) + more * F.sum((F.col("n") > 2).cast("long"))).alias("_free"),
         )
+        # Few keys for very many rows, and 256 ** k at most: 65,536 rows are broadcast, so that none is a hot key.
+        known, context = F.broadcast(known) if k <= 2 else known, F.broadcast(context) if k <= 3 else context
         off = F.when(F.col("_n") == 1, one).when(F.col("_n") == 2, two).otherwise(more)
         p = p.withColumn("_k", tail).join(known, F.col("_k") == F.col("_t"), "left").drop("_t")
         p = p.withColumn("_k", F.shiftrightunsigned("_k", 8)).join(context, F.col("_k") == F.col("_c"), "left").drop("_c")
