@@ -123,6 +123,16 @@ def arrow_bytes(spark: SparkSession, most: int):
     return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def small_batches(spark: SparkSession, most: int = 8_000_000) -> None:
+    """From now on, batches to Python have about `most` bytes at most.
+
+    A job that a caller starts reads the session's setting when it runs, so this stays set; it changes no result.
+    """
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if not now or not 0 < int(now[1]) <= most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def buckets_for(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 

@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import arrow_bytes, discard, durable
+from .common import arrow_bytes, discard, durable, small_batches
 from .components import connected_components
 
 #: Counters of each sketch, in how many rows a task sends its own, and into how many rows of each of these they are first added up.
 SLOTS, BLOCKS, FAN = 1 << 20, 16, 8
 #: Cells of the suffix filter; bytes of texts sent to Python at once.
-CELLS, BATCH_BYTES = 64, 16_000_000
+CELLS, BATCH_BYTES = 64, 8_000_000
 
 
 def _sketches(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +134,8 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 #: Keys of rows up to this many, in 40 bytes each at most, are sent to every task to pick or drop rows where their texts lie; beyond that, a shuffle brings both together.
 BROADCAST_KEYS = 500_000
+#: Stands for a null doc_id where rows are told apart by id and text: it sorts last.
+NO_ID = 2**63 - 1
 
 
 def _sent(keys: DataFrame) -> DataFrame:
@@ -177,12 +179,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of each row of `docs`: doc_id, t (a hash of its text), n (size of its set), c (its class); of each class with an id: c, one (its least doc_id and t), least (that id), component."""
+    """Of each row of `docs` (doc_id not null): doc_id, t (a hash of its text), n (size of its set), c (its class); of each class: c, one (its least doc_id and t), least (that id), component."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
+    small_batches(docs.sparkSession)
     sets = durable(_sets(docs, k, percent))
     members = durable(sets.select("doc_id", "t", "n", "c"))
-    one = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "t")))
-    grouped = durable(sets.where("n > 0").groupBy("c").agg(one.alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")).where("one is not null"))
+    one = F.min(F.struct("doc_id", "t"))
+    grouped = durable(sets.where("n > 0").groupBy("c").agg(one.alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")))
     discard(sets)
     classes = durable(grouped.select("c", "one", F.col("one.doc_id").alias("least"), "n", "cells"))
     rows = grouped.select("c", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
@@ -226,21 +229,18 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame
 
     class_id marks equal sets, component_id is the least doc_id reachable over links of `percent` / 100 or more.
     A null or empty text has an empty set and is linked with nothing: its component is itself.  Repeated rows are
-    copies.  A row with a null doc_id is in the class of its equals, names no component (null where it has no other)
-    and otherwise links with nothing.  Columns but doc_id and text don't matter; an empty table gives an empty one.
+    copies.  A row with a null doc_id is linked as any other but names no component: that of rows without ids alone is
+    null.  (2**63 - 1 stands for no id.)  Columns but doc_id and text don't matter; an empty table gives an empty one.
     Sets are told apart by 128-bit hashes, the shingles of two sets that are compared by 64-bit ones.
     """
-    members, named = _linked(docs, k, percent)
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    members, named = _linked(docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), docs["text"]), k, percent)
+    members = members.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    ids = named.groupBy("component").agg(F.nullif(F.min("least"), F.lit(NO_ID)).alias("component_id"))
     by_class = named.join(ids, "component").select("c", "component_id")
     out = members.join(by_class, (members["c"] == by_class["c"]) & (members["n"] > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), members["c"].alias("class_id"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-#: Stands for a null doc_id where rows are told apart by id and text: it sorts last.
-NO_ID = 2**63 - 1
-
-
 def without_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with exactly one row of each component: that of its least doc_id (nulls last), then text hash.
 

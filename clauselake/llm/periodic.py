@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import setting
+from .common import small_batches
 from .shingles import ODD, mix
 
-#: Bytes of texts whose tree is built at once (a longer text alone); leaves looked at together; bytes sent to Python at once.
-CHUNK, LEAVES, BATCH_BYTES = 2_000_000, 1_000_000, 16_000_000
+#: Bytes of texts whose tree is built at once (a longer text alone); leaves looked at together.
+CHUNK, LEAVES = 2_000_000, 1_000_000
 #: Rounds of leaving out; more would only leave out more.
 ROUNDS = 4
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
@@ -247,8 +247,6 @@ def with_runs(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text_col: str
                 flat = pa.StructArray.from_arrays([pa.array(np.concatenate([r[i] for r in runs]), pa.int64()) for i in range(3)], ["start", "length", "period"])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, stop - first), pa.array(count), pa.ListArray.from_arrays(at, flat), pa.array(left, pa.binary())], names=["_row", "n_words", "runs", "collapsed"])
 
-    spark = docs.sparkSession
-    # Read when the plan is made, so that long texts travel in small batches.
-    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
-        found = rows.mapInArrow(of, f"_row {row}, n_words long, runs {RUNS}, collapsed binary")
+    small_batches(docs.sparkSession)
+    found = rows.mapInArrow(of, f"_row {row}, n_words long, runs {RUNS}, collapsed binary")
     return found.select("_row.*", "n_words", "runs", F.col("collapsed").cast("string").alias("collapsed"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 2_000_000
+CHUNK = 500_000
 WORD_BYTE = np.ones(256, bool)
 WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
 LOWER = np.arange(256, dtype=np.uint8)

@@ -18,10 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: At most so many labelled rows are used for fitting, those with the least hash of their id.
 TRAIN_ROWS = 6_000
 #: Terms kept, factors per term, letters of a word's beginnings, words a task remembers.
-TERMS, FACTORS, BEGINNINGS, CACHED = 4096, 4, (4, 5), 500_000
+TERMS, FACTORS, BEGINNINGS, CACHED = 4096, 4, (4, 5), 150_000
+#: Texts taken out of a batch at once.
+TOGETHER = 256
 #: Frequent terms among which pairs are looked at in fitting.
 PAIRED = 512
 EDGES = re.compile(r"^\W+|\W+$")
@@ -112,6 +116,11 @@ def _pairs(term: np.ndarray, row: np.ndarray, y: np.ndarray, n: np.ndarray, kept
     return free[(far > 6).any(1)]
 
 
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    for at in range(0, len(column), TOGETHER):
+        yield from column.slice(at, TOGETHER).to_pylist()
+
+
 def distinct_terms(texts: DataFrame) -> DataFrame:
     """`texts` (toxic, text) as (toxic, hashes: binary of int32)."""
 
@@ -119,7 +128,7 @@ def distinct_terms(texts: DataFrame) -> DataFrame:
         seen: dict[str, tuple[int, ...]] = {}
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
+            for text in _texts(b.column(1)):
                 found: set[int] = set()
                 for w in set((text or "").split()):
                     if (x := seen.get(w)) is None:
@@ -139,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
     if usable is not None:
         picked = picked.where(usable)
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
+    small_batches(docs.sparkSession)
     # `rows` rows at most: may be broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text")
     # An id may stand in `docs` more than once: what reaches the driver is bounded again.
@@ -153,6 +163,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     A null or empty text gets what the bias alone gives.  A column score that is there already gives way.  Repeated
     rows are each scored; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("score")
     place = {int(h): i for i, h in enumerate(machine.hashes)}
     text_at = docs.columns.index("text")
@@ -162,7 +173,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
         none: tuple[int, ...] = ()
         for b in batches:
             out = []
-            for text in b.column(text_at).to_pylist():
+            for text in _texts(b.column(text_at)):
                 found: set[int] = set()
                 for w in set((text or "").split()):
                     x = seen.get(w)

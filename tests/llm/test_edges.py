@@ -35,6 +35,45 @@ def test_ngram_join(odd, none):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 5, 6, 7}
 
 
+def test_links_through_rows_without_id(spark):
+    words = [f"w{i}" for i in range(41)]
+    a, b, c = (" ".join(words[:n]) for n in (37, 39, 41))
+    docs = lambda b_id: spark.createDataFrame([(1, a), (b_id, b), (3, c), (None, "all by itself here"), (None, b)], "doc_id long, text string")
+    got = lambda b_id: sorted(((r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(docs(b_id), 3, 93).collect()), key=str)
+    assert got(2) == sorted([(None, 1), (None, None), (1, 1), (2, 1), (3, 1)], key=str)
+    assert got(None) == sorted([(None, None), (None, 1), (None, 1), (1, 1), (3, 1)], key=str)
+
+
+def test_mixing_spreads_rows_without_id(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"), F.lit("web").alias("source"))
+    rows = mixing.mix_sources(docs, keep=("text",))
+    assert rows.count() == 20_000 and rows.agg(F.sum("taken")).first()[0] == 60_000
+    key = mixing.range_bucket(F.xxhash64(F.lit(20), F.lit(None).cast("long"), F.lit(3).cast("long"), F.xxhash64("text")), 5)
+    assert docs.groupBy(key).count().agg(F.max("count")).first()[0] < 4500
+
+
+def test_bytes_that_are_no_utf8(spark):
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("cast(unhex(concat('61', repeat('20FFFE62', 40))) as string)").alias("text"), F.lit("web").alias("source"), F.lit("en").alias("lang"), F.lit(1).cast("long").alias("n_chars"))
+    assert {r.component_id for r in ngram_join.jaccard_classes(docs, 3, 90).collect()} == {0}
+    assert mixing.mix_sources(docs).count() == 3
+    assert suffix_dedup.dedup(docs, 400).count() == 3
+    assert secret_scan.scan(docs).count() == 3
+    assert quality_lm.judged(docs, F.lit(True)).count() == 3
+    assert winnowing.with_next(docs).count() == 3
+    pieces = packing.pack_documents(docs, queries.tokenizer_path(), 2048, 1).collect()
+    assert len({(r.length, r.ids_crc32) for r in pieces}) == 1 and len(pieces) == 3
+
+
+def test_tokenizer_that_joins_over_spaces(spark):
+    from tokenizers import Tokenizer
+
+    path, texts = queries.tokenizer_path("byte_bpe_50k.json"), ["two  spaces and a\nline", "", "one", "Don't  stop. "]
+    assert not packing.WordTokens(path).by_word and packing.WordTokens(queries.tokenizer_path()).by_word
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packing.pack_documents(docs, path, 2048, 1).collect()}
+    assert got == {i: brute.token_pieces(t, Tokenizer.from_file(path))[0] for i, t in enumerate(texts)}
+
+
 def test_mixing(odd, none):
     rows = mixing.mix_sources(odd).collect()
     assert len(rows) == len(TEXTS) + 1 and all(0 <= r.taken <= 3 * r["size"] for r in rows)
@@ -98,12 +137,25 @@ def test_winnowing(odd, none):
     rows = winnowing.with_next(odd).collect()
     assert len(rows) == len(TEXTS) + 1
     for r in rows:
-        text = TEXTS[r.id - 1]
-        want = brute.winnow(text, winnowing.K, winnowing.W)
-        assert len(r.fp) == len(want)
+        n, want = brute.winnow(TEXTS[r.id - 1], winnowing.K, winnowing.W)
+        assert r.fp.grams == n and len(r.fp.marks) == len(want)
     assert winnowing.with_next(none).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, 65_536])
+def test_next_of_rows_without_id_and_of_one_id(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(winnowing, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(winnowing, "BROADCAST_BUCKETS", broadcast)
+    rows = [(i, f"text {i}") for i in range(300)] + [(150, f"same id {i}") for i in range(400)] + [(None, f"no id {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = winnowing.parted(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")), winnowing.bucketed(docs.withColumnRenamed("doc_id", "id"), "id")[0])
+    assert buckets.groupBy("bucket", "part").count().agg(F.max("count")).first()[0] < 130
+    hashed = {r.text: r.h & (1 << 64) - 1 for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = sorted((t, order[(n + 1) % len(order)][1]) for n, (_, t) in enumerate(order))
+    assert sorted((r.text, r.next_text) for r in winnowing.with_next(docs).collect()) == want
+
+
 def test_packing(odd, none):
     rows = packing.pack_documents(odd, queries.tokenizer_path(), 2048, 1).collect()
     assert {r.doc_id for r in rows} == set(range(1, len(TEXTS) + 1))
