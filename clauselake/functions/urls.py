@@ -40,6 +40,48 @@ def origin(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), host(url), port(url))
 
 
+def _without_dots(path_: Column) -> Column:
+    """A path from the root without its `.` and `..` parts."""
+    dot, up = F.lit("."), F.lit("..")
+
+    def of(parts: Column) -> Column:
+        none = F.array().cast("array<string>")
+        kept = F.aggregate(parts, none, lambda a, x: F.when(x == dot, a).when(x == up, F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+        tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
+
+    return let(path_, lambda p: F.when(p.contains("/."), let(F.split(F.substring(p, F.lit(2), F.length(p)), "/"), of)).otherwise(p))
+
+
+def resolve(reference: Column, base: Column) -> Column:
+    """The address that a reference on the page `base` leads to, with its query, without its fragment.
+
+    Null where the base is no http(s) address and the reference needs one.  Addresses of other schemes are left as they are.
+    """
+    bare = F.regexp_replace(F.regexp_replace(reference, r"[\t\r\n]", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    hashless = F.regexp_replace(bare, "(?s)#.*$", "")
+
+    # Each part is used many times: `let` keeps the expression small.
+    def of(r: Column, front: Column, query: Column) -> Column:
+        here = lambda p: F.concat(origin(base), _without_dots(p), query)
+        whole = lambda u: let(u, lambda v: F.concat(origin(v), _without_dots(path(v)), query))
+        folder = F.regexp_replace(path(base), "[^/]*$", "")
+        return (
+            F.when(front.rlike("^[Hh][Tt][Tt][Pp][Ss]?://"), whole(front))
+            .when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r)
+            .when(front.startswith("//"), whole(F.concat(scheme(base), F.lit(":"), front)))
+            .when((front == "") & (query == ""), F.concat(strip_query(base), F.regexp_extract(base, r"\?[^#]*", 0)))
+            .when(front == "", F.concat(origin(base), path(base), query))
+            .otherwise(here(F.when(front.startswith("/"), front).otherwise(F.concat(folder, front))))
+        )
+
+    def parted(r: Column) -> Column:
+        front = F.translate(F.regexp_extract(r, r"^[^?]*", 0), "\\", "/")
+        return let(front, lambda f: let(F.regexp_extract(r, r"(?s)\?.*$", 0), lambda q: of(r, f, q)))
+
+    return F.when(reference.isNotNull() & base.isNotNull(), let(hashless, parted))
+
+
 def strip_query(url: Column) -> Column:
     """Origin and path; a malformed address up to its query."""
     return F.coalesce(F.concat(origin(url), path(url)), F.regexp_replace(url, r"(?s)[?#].*$", ""))
