@@ -52,6 +52,7 @@ class _Page(HTMLParser):
         self.chars = self.shut = self.hidden = self.markup = self.comments = self.scripts = 0
         self.elements: list[dict] = []
         self.texts: list[dict] = []
+        self.ended = False
         self.newest = [-1]  # of each open element, and of the page, the newest child
         self.best: tuple[int, int, int] | None = None  # characters, slice of `seen`
 
@@ -81,7 +82,8 @@ class _Page(HTMLParser):
         self.newest.append(-1)
 
     def handle_endtag(self, tag: str) -> None:
-        if not self.open_tags.get(tag):
+        # What follows the end of the body still belongs to it.
+        if not self.open_tags.get(tag) or tag in ("body", "html") and not self.ended:
             return
         while True:
             name, shuts, candidate, first, before, element = self.open.pop()
@@ -109,6 +111,7 @@ class _Page(HTMLParser):
     def result(self, html: str) -> tuple:
         self.feed(html)
         self.close()
+        self.ended = True
         while self.open:
             self.handle_endtag(self.open[-1][0])
         whole = "".join(self.seen)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let, money_kind
+
 # White space, tokens that end in a full stop without ending a sentence, closers, and what begins a sentence.
 SPACE = r"[\s   -     　﻿]"
 ABBREVIATIONS = (
@@ -42,6 +44,35 @@ def sentences(text: Column, min_chars: int = 25, min_words: int = 5, most: int =
     return F.filter(found, lambda s: (F.length(s) >= min_chars) & (F.size(F.split(s, " ")) >= min_words))
 
 
+def with_previous(sentences_: Column) -> Column:
+    """array<struct<index, sentence, prev>>: each sentence with the one before it, empty for the first."""
+    return let(sentences_, lambda a: F.transform(a, lambda s, i: F.struct(i.alias("index"), s.alias("sentence"), F.coalesce(F.get(a, i - 1), F.lit("")).alias("prev"))))
+
+
+#: Sizes of the sentences among which fee clauses are looked for, and how many and how long they may be.
+FEE_CHARS, FEE_WORDS, FEE_CLAUSES, FEE_LENGTH = 10, 2, 200, 2000
+
+
+def fee_clauses(text: Column, min_chars: int = 25, min_words: int = 5) -> Column:
+    """array<struct<index, text, kind>>: sentences of a document that speak of fees, the first FEE_CLAUSES.
+
+    They are looked for among shorter sentences, too, but are numbered as the longer ones (min_chars, min_words) are: a
+    short one takes the number of the next longer one, or of the last.
+    """
+    reads = lambda s: (F.length(s) >= min_chars) & (F.size(F.split(s, " ")) >= min_words)
+
+    def of(every: Column) -> Column:
+        def clause(s: Column, i: Column, last: Column) -> Column:
+            number = F.size(F.filter(F.slice(every, F.lit(1), i), reads))
+            found = lambda kind: F.when(kind.isNotNull(), F.struct(F.least(number, last).alias("index"), F.substring(s, 1, FEE_LENGTH).alias("text"), kind.alias("kind")))
+            return let(money_kind(s), found)
+
+        last = F.greatest(F.size(F.filter(every, reads)) - 1, F.lit(0))
+        return let(last, lambda n: F.slice(F.array_compact(F.transform(every, lambda s, i: clause(s, i, n))), 1, FEE_CLAUSES))
+
+    return let(sentences(text, FEE_CHARS, FEE_WORDS), of)
+
+
 # Addresses, and the tokeniser's rules in order.
 ADDRESS = r"""(?:https?://|www\.)[^\s<>"']+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+"""
 RULES = (

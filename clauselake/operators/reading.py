@@ -86,6 +86,23 @@ def personal_indexes(passages: Column, fees: Column, test) -> Column:
     return F.transform(F.filter(F.concat(passages, fees), lambda x: test(x["text"])), lambda x: x["index"])
 
 
+def positioned(rows: DataFrame, marks: DataFrame, key: str, at: str, position: str = "position") -> DataFrame:
+    """`rows` (key, at, others) with the number of the next of `marks` (key, at) from there on, counted from 0 in each key; after the last mark, the last's.
+
+    A forward as-of join: both sides meet in one window in order of `at`, a mark before a row at the same place.  A
+    key without marks gives 0; rows whose key or place is null give null.
+    """
+    has_place = F.col(key).isNotNull() & F.col(at).isNotNull()
+    both = rows.where(has_place).select(F.struct(*rows.columns).alias("_row"), F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_mark"))
+    both = both.unionByName(marks.where(has_place).select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(0).alias("_mark")), allowMissingColumns=True)
+    # Marks strictly before: all earlier places, none of the row's own.
+    earlier = Window.partitionBy("_key").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("_key")
+    counted = both.select("_row", F.coalesce(F.count_if(F.col("_mark") == 0).over(earlier), F.lit(0)).alias("_before"), F.count_if(F.col("_mark") == 0).over(every).alias("_all"))
+    placed = counted.where("_row is not null").select("_row.*", F.least("_before", F.greatest(F.col("_all") - 1, F.lit(0))).cast("long").alias(position))
+    return placed.unionByName(rows.where(~F.coalesce(has_place, F.lit(False))).withColumn(position, F.lit(None).cast("long")))
+
+
 def failure_message(failures: DataFrame) -> DataFrame:
     """site, message: one sentence out of the reasons (site, reason) why no terms could be read."""
     n = F.count(F.lit(1))

@@ -1,6 +1,6 @@
 """The registered queries and their SQL, by area."""
 
-from . import reading, requests, scores, store, texts
+from . import pages, reading, requests, scores, store, texts
 
-QUERIES: dict = store.QUERIES | texts.QUERIES | scores.QUERIES | reading.QUERIES | requests.QUERIES
-ORACLES: dict = store.ORACLES | texts.ORACLES | scores.ORACLES | reading.ORACLES | requests.ORACLES
+QUERIES: dict = store.QUERIES | texts.QUERIES | scores.QUERIES | reading.QUERIES | requests.QUERIES | pages.QUERIES
+ORACLES: dict = store.ORACLES | texts.ORACLES | scores.ORACLES | reading.ORACLES | requests.ORACLES | pages.ORACLES

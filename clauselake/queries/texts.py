@@ -10,7 +10,7 @@ from ..functions import pii as P
 from ..functions import sentences as S
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import reading, similar
+from ..operators import domains, similar
 from .store import table
 
 
@@ -33,9 +33,10 @@ def benchmark_overlap(spark, sf_dir):
 
 
 def near_duplicate_turns(spark, sf_dir):
-    """Turns of conversations that are near copies of each other."""
+    """Turns of conversations that are near copies of an edited turn: one that begins with two words more."""
     c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
-    return similar.near_duplicates(c, c, 0.3, 2).where("left_id < right_id")
+    edited = c.select("id", F.concat(F.lit("Well then, "), F.col("text")).alias("text"))
+    return similar.near_duplicates(c, edited, 0.3, 2)
 
 
 def near_duplicate_documents(spark, sf_dir):
@@ -87,28 +88,73 @@ def quotes_in_documents(spark, sf_dir):
 
 def document_sentences(spark, sf_dir):
     """Sentences of documents in reading order, at most 1,500 of each, with the one before."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(S.sentences(F.col("text")), 1, 1500)).alias("index", "sentence"))
-    before = F.lag("sentence").over(Window.partitionBy("doc_id").orderBy("index"))
-    return d.select("doc_id", F.col("index").cast("long").alias("index"), "sentence", F.coalesce(before, F.lit("")).alias("prev"))
+    found = S.with_previous(F.slice(S.sentences(F.col("text")), 1, 1500))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("s"))
+    return d.select("doc_id", F.col("s.index").cast("long").alias("index"), "s.sentence", "s.prev")
+
+
+#: What a document begins with, by its number: the given ones say nothing of fees.
+OPENINGS = (
+    "All sales are final. We may change our prices at any time without notice. No refunds. Thanks for reading these terms of ours.",
+    "Welcome to the service, please read on. Your plan renews automatically unless you cancel it. All fees are non-refundable once paid.",
+    "",
+)
+
+
+def opened(spark, sf_dir):
+    opening = F.element_at(F.array(*[F.lit(x) for x in OPENINGS]), (F.pmod("doc_id", F.lit(len(OPENINGS))) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", opening, "text").alias("text"))
 
 
 def fee_sentences(spark, sf_dir):
-    """Sentences (ten characters and two words at least) that speak of fees, at most 200 of each document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.sentences(F.col("text"), 10, 2)).alias("index", "sentence"))
-    rows = d.withColumn("kind", T.money_kind(F.col("sentence"))).where("kind is not null")
-    return reading.capped(rows, "doc_id", [F.col("index")], 200).select("doc_id", F.col("index").cast("long").alias("index"), "kind")
+    """Sentences (ten characters and two words at least) that speak of fees, at most 200 of each document, with the number of the next sentence that is classified."""
+    d = opened(spark, sf_dir).select("doc_id", F.explode(S.fee_clauses(F.col("text"))).alias("c"))
+    return d.select("doc_id", F.col("c.index").cast("long").alias("index"), "c.kind", "c.text")
+
+
+def ranked_clauses(spark, sf_dir):
+    """The 80 best documents of another source for each benchmark item, by the words they share: an item asks for one language, and two of three documents are current."""
+    items = table(spark, sf_dir, "benchmark")
+    category = F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), (F.pmod("item_id", F.lit(len(LANGUAGES))) + 1).cast("int"))
+    asked = items.select(F.col("item_id").alias("ask_id"), F.lit("web").alias("domain"), category.alias("category"), "text")
+    stored = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clause"), F.coalesce("source", F.lit("")).alias("domain"), F.col("lang").alias("category"), (F.pmod("doc_id", F.lit(3)) != 0).alias("current"), "text")
+    return similar.bm25_candidates(asked, stored).select("ask_id", "clause", F.round("score", 6).alias("score"), "rank")
+
+
+#: Suffix rules that the hosts of `sites_of_hosts` are judged by, in the format of the public list; the last is private.
+RULES = ("com", "net", "org", "uk", "co.uk", "jp", "*.kobe.jp", "!city.kobe.jp", "*.ck", "!www.ck", "hk", "com.hk")
+PRIVATE_RULES = ("github.io",)
+LANGUAGES = ("en", "fr", "de", "es")
+ENDS = ("", ".co.uk", ".kobe.jp", ".city.kobe.jp", ".ck", ".www.ck", ".github.io", ".com.hk")
+
+
+def hosts_of_pages(spark, sf_dir):
+    """Each page's host, as it is or under one of a few ends."""
+    end = F.element_at(F.array(*[F.lit(x) for x in ENDS]), (F.pmod("page_id", F.lit(len(ENDS))) + 1).cast("int"))
+    host = U.host(F.col("url"))
+    own = F.when(end == "", host).otherwise(F.concat(F.regexp_replace(F.substring_index(host, ".", 2), r"\.", "."), end))
+    return table(spark, sf_dir, "pages").select("page_id", own.alias("host"))
+
+
+def sites_of_hosts(spark, sf_dir):
+    """Suffix and site of every page's host by a list of rules."""
+    lines = spark.createDataFrame([(x, False) for x in RULES] + [(x, True) for x in PRIVATE_RULES], "line string, private boolean")
+    return domains.sites(hosts_of_pages(spark, sf_dir), domains.rules(lines))
 
 
 def normalised_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.normalised(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, guessed_addresses, page_texts, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns)}
+QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, guessed_addresses, page_texts, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns, ranked_clauses, sites_of_hosts)}
 
 KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 GRAMS = """list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)"""
 STOP = ", ".join(f"'{w}'" for w in T.STOP)
 
+TOKENS = r"""list_filter(string_split(regexp_replace(translate(lower(coalesce(text, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"""
+list_of = lambda xs: ", ".join(f"'{x}'" for x in xs)
+
 CANON = r"""lower(trim(regexp_replace(translate(regexp_replace(text, '[\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), '‘’“”', '''''""'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')))"""
 
 
@@ -131,10 +177,12 @@ ORACLES = {
         select a.id as doc_id, b.id as item_id, cast(count(*) as double) / b.n as share from a join b using (gram) group by a.id, b.id, b.n having cast(count(*) as double) / b.n >= 0.5
     """,
     "near_duplicate_turns": f"""
-        with w as (select conv_id || ':' || turn as id, list_filter(string_split({KEY.format('text')}, ' '), lambda x: x <> '') as w from conversations),
-        s as (select id, list_distinct(case when len(w) = 0 then [] when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from w),
-        g as (select id, unnest(g) as gram, len(g) as n from s), p as (
-          select a.id as left_id, b.id as right_id, count(*) as shared, a.n as an, b.n as bn from g a join g b on a.gram = b.gram and a.id < b.id group by all)
+        with t as (select conv_id || ':' || turn as id, text from conversations), e as (select id, 'Well then, ' || text as text from t),
+        w as (select 0 as side, id, {KEY.format('text')} as k from t union all select 1, id, {KEY.format('text')} from e),
+        v as (select side, id, list_filter(string_split(k, ' '), lambda x: x <> '') as w from w),
+        s as (select side, id, list_distinct(case when len(w) = 0 then [] when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g from v),
+        g as (select side, id, unnest(g) as gram, len(g) as n from s), p as (
+          select a.id as left_id, b.id as right_id, count(*) as shared, a.n as an, b.n as bn from g a join g b on a.gram = b.gram and a.side = 0 and b.side = 1 group by all)
         select left_id, right_id, shared, cast(shared as double) / (an + bn - shared) as similarity from p where cast(shared as double) / (an + bn - shared) >= 0.3
     """,
     "near_duplicate_documents": f"""
@@ -164,5 +212,36 @@ ORACLES = {
         t as (select {list(U.TERMS_PATHS)} as paths)
         select page_id, cast(i as bigint) as place, lower(x.s) || '://' || lower(x.h) || x.p || paths[i + 1] as address from p, t, (select unnest(range(0, {len(U.TERMS_PATHS)})) as i) where x.h <> ''
     """,
+    "fee_sentences": """
+        with f(kind_, index, kind, text) as (values
+          (0, 0, 'no_refund', 'All sales are final.'), (0, 0, 'price_change', 'We may change our prices at any time without notice.'), (0, 1, 'no_refund', 'No refunds.'),
+          (1, 1, 'auto_renewal', 'Your plan renews automatically unless you cancel it.'), (1, 2, 'no_refund', 'All fees are non-refundable once paid.'))
+        select doc_id, cast(index as bigint) as index, kind, f.text as text from documents join f on doc_id % 3 = kind_
+    """,
+    "ranked_clauses": f"""
+        with d as (select doc_id as clause, coalesce(source, '') as domain, lang as category, doc_id % 3 <> 0 as current, {TOKENS} as w from documents),
+        p as (select clause, len(w) as n, unnest(w) as word from d), t as (select clause, n, word, count(*) as tf from p group by all),
+        f as (select word, count(*) as df from t group by 1), a as (select count(*) as c, avg(len(w)) as mean from d),
+        i as (select item_id, [{list_of(LANGUAGES)}][item_id % 4 + 1] as category, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z''-]{{2,}}'), lambda x: not list_contains([{STOP}], x)) as w from benchmark),
+        u as (select item_id, category, unnest(w) as word, generate_subscripts(w, 1) as ord from i), g as (select item_id, category, word, min(ord) as ord from u group by all),
+        h as (select *, row_number() over (partition by item_id order by length(word) desc, ord) as rn, count(*) over (partition by item_id) as many from g),
+        q as (select distinct item_id, category, unnest(list_filter(string_split(regexp_replace(word, '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')) as word from h where rn <= 12 and many >= 3),
+        s as (
+          select q.item_id as ask_id, t.clause, sum(greatest(ln((a.c - f.df + 0.5) / (f.df + 0.5)), 1e-6) * (t.tf * 2.2) / (t.tf + 1.2 * (0.25 + 0.75 * t.n / a.mean))) as score
+          from q join t using (word) join f using (word) join d on d.clause = t.clause and d.category = q.category and d.current and lower(d.domain) <> 'web', a group by 1, 2
+        ), r as (select ask_id, clause, score, cast(row_number() over (partition by ask_id order by round(score, 9) desc, clause) as integer) as rank from s)
+        select ask_id, clause, round(score, 6) as score, rank from r where rank <= 80
+    """,
+    "sites_of_hosts": f"""
+        with p as (select page_id, lower(regexp_extract(url, '^https?://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as h, [{list_of(ENDS)}][page_id % {len(ENDS)} + 1] as e from pages),
+        o as (select distinct case when e = '' then h else array_to_string(string_split(h, '.')[1:2], '.') || e end as host from p where h <> ''),
+        t as (select host, string_split(host, '.') as ls, unnest(range(1, len(string_split(host, '.')) + 1)) as n from o),
+        r(suffix, kind, icann) as (values {", ".join(f"('{x.lstrip('!').removeprefix('*.')}', {2 if x[0] == '!' else 1 if x[0] == '*' else 0}, {str(x in RULES).lower()})" for x in (*RULES, *PRIVATE_RULES))}),
+        f as (select host, ls, kind, icann, n + case kind when 2 then -1 when 1 then 1 else 0 end as taken from t join r on array_to_string(ls[len(ls) - n + 1:], '.') = suffix),
+        b as (select host, max(struct_pack(x := kind = 2, taken := taken, icann := icann)) as b from f where taken <= len(ls) group by 1),
+        k as (select host, string_split(host, '.') as ls, coalesce(b.b.taken, 1) as k, coalesce(b.b.icann, false) as icann from o left join b using (host)),
+        s as (select host, array_to_string(ls[len(ls) - k + 1:], '.') as suffix, case when len(ls) > k then array_to_string(ls[len(ls) - k:], '.') end as site, icann from k)
+        select host, suffix, site, string_split(site, '.')[1] as label, icann and site is not null as public from s
+    """,
     "previous_turns": "select conv_id, turn, coalesce(lag(text) over (partition by conv_id order by turn), '') as prev from conversations",
 }
