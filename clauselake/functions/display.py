@@ -107,6 +107,6 @@ def ordered_union(*arrays: Column) -> Column:
 
 
 def without_reasoning(text: Column) -> Column:
-    """A completion without its <think> parts; one that is not closed leaves what stands before it."""
+    """A completion without its <think> parts; empty if one is not closed, as there is no answer then."""
     closed = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    return F.btrim(F.regexp_replace(closed, r"(?is)<think>.*$", ""))
+    return F.when(closed.rlike("(?i)<think>"), "").otherwise(F.btrim(closed))

@@ -113,39 +113,52 @@ def other_bias(scored: DataFrame, low: float = -3.0, high: float = 3.0, step: fl
     return summary(confusion(rows.withColumn("pred", P.argmax(P.with_bias(F.col("logits"), F.col("bias")))), by=("bias",)), by=("bias",)).select("bias", "macro_f1")
 
 
-def poisson_copies(id_: Column, boot: Column, seed: int = 1) -> Column:
-    """How often a row is in a resample: Poisson(1) by a hash, so that reruns and other systems draw alike."""
-    u = F.pmod(F.xxhash64(F.lit(seed), boot, id_), F.lit(1_000_000)) / 1_000_000.0
-    out, term, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        total += term
-        out = F.when(u >= total, k).otherwise(out)
-        term /= k
-    return out
+#: Hexadecimal digits of a draw's digest that count: 60 bits.
+DIGITS = 15
 
 
-def bootstrap(scored: DataFrame, boots: int = 1000, seed: int = 1, pred: str = "pred") -> DataFrame:
-    """metric, low, high: 95 % intervals of macro-F1 and accuracy.
+def exact_draws(cells: DataFrame, boots: int, seed: int = 1, by: str = "boot") -> DataFrame:
+    """`cells` (n and others) of each resample: n rows drawn with replacement, as many as there are.
 
-    Each row counts in all resamples inside its task: rows become (class, class) sums per resample before any shuffle.
+    A resample of rows changes no metric beyond the counts of their cells, so what is drawn are places among all rows,
+    cell after cell in the order of their other columns: a digest of seed, resample and draw modulo the number of rows.
+    Draws are dealt over tasks and added up before they move; reruns and other systems draw alike.  The driver sees the
+    cells, one for each pair (or triple) of classes.
     """
-    rows = scored.where(F.col("gold").isNotNull() & F.col(pred).isNotNull()).select("id", "gold", F.col(pred).alias("pred"))
-    drawn = rows.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(boots)))).withColumn("k", poisson_copies(F.col("id"), F.col("boot"), seed)).where("k > 0")
-    cells = drawn.groupBy("boot", "gold", "pred").agg(F.sum("k").alias("n"))
+    spark, names = cells.sparkSession, [c for c in cells.columns if c != "n"]
+    rows = sorted(cells.select(*names, F.col("n").cast("long").alias("n")).where("n > 0").collect(), key=lambda r: tuple(r[c] for c in names))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in names)
+    total = sum(r["n"] for r in rows)
+    if not total:
+        return spark.createDataFrame([], f"{by} long, {kinds}, n long")
+    ends = F.array(*[F.lit(sum(r["n"] for r in rows[: i + 1])) for i in range(len(rows))])
+    draws = spark.range(boots * total).select((F.floor(F.col("id") / total) + 1).alias(by), (F.col("id") % total).alias("j"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(by), F.col("j")).cast("binary"))
+    place = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long") % total
+    counted = draws.select(by, F.size(F.filter(ends, lambda e: e <= place)).alias("_cell")).groupBy(by, "_cell").agg(F.count(F.lit(1)).alias("n"))
+    # One row a cell.
+    named = spark.createDataFrame([(i, *(r[c] for c in names)) for i, r in enumerate(rows)], f"_cell int, {kinds}")
+    return counted.join(F.broadcast(named), "_cell").select(by, *names, "n")
+
+
+def bootstrap(scored: DataFrame, boots: int = 1000, seed: int = 1, pred: str = "pred") -> DataFrame:
+    """metric, low, high: 95 % intervals of macro-F1 and accuracy over resamples of as many rows (see `exact_draws`)."""
+    cells = exact_draws(confusion(scored, pred=pred), boots, seed)
     s = summary(cells, ("boot",)).select("boot", F.explode(F.array(F.struct(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("v")), F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("v")))).alias("x"))
     return s.groupBy("x.metric").agg(F.percentile("x.v", 0.025).alias("low"), F.percentile("x.v", 0.975).alias("high"))
 
 
 def paired_bootstrap(scored: DataFrame, a: str, b: str, boots: int = 1000, seed: int = 1) -> DataFrame:
-    """Difference of macro-F1 (b - a) on the same resamples: mean, low, high, share of resamples where b is better."""
-    one = lambda p: summary(confusion_of_draws(scored, p, boots, seed), ("boot",)).select("boot", F.col("macro_f1").alias(p))
-    d = one(a).join(one(b), "boot").select((F.col(b) - F.col(a)).alias("d"))
-    return d.agg(F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("b_better"))
-
+    """Difference of macro-F1 (b - a) on the same resamples: delta (mean), low, high, b_better (share of resamples where b is better), verdict.
 
-def confusion_of_draws(scored: DataFrame, pred: str, boots: int, seed: int) -> DataFrame:
-    drawn = scored.where(F.col("gold").isNotNull()).select("id", "gold", F.col(pred).alias("pred"), F.explode(F.sequence(F.lit(1), F.lit(boots))).alias("boot"))
-    return drawn.withColumn("k", poisson_copies(F.col("id"), F.col("boot"), seed)).where("k > 0").groupBy("boot", "gold", "pred").agg(F.sum("k").alias("n"))
+    verdict: b or a where the interval lies on one side of nought, else neither.
+    """
+    rows = scored.where(F.col("gold").isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    drawn = exact_draws(rows.groupBy("gold", F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("n")), boots, seed)
+    of = lambda p, name: summary(drawn.groupBy("boot", "gold", F.col(p).alias("pred")).agg(F.sum("n").alias("n")), ("boot",)).select("boot", F.col("macro_f1").alias(name))
+    d = of("_a", "_fa").join(of("_b", "_fb"), "boot").select((F.col("_fb") - F.col("_fa")).alias("d"))
+    s = d.agg(F.avg("d").alias("delta"), F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("b_better"))
+    return s.withColumn("verdict", F.when(F.col("low") > 0, "b").when(F.col("high") < 0, "a").otherwise("neither"))
 
 
 def agreement(rows: DataFrame, a: str = "logits_a", b: str = "logits_b") -> DataFrame:

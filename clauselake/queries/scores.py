@@ -62,6 +62,12 @@ def bootstrap_intervals(spark, sf_dir):
     return M.bootstrap(scored(spark, sf_dir), 1000)
 
 
+def paired_bootstrap(spark, sf_dir):
+    """The decision by threshold against the likeliest class, on the same 200 resamples."""
+    rows = scored(spark, sf_dir).withColumn("strict", P.decide(F.col("probs"), 0.6))
+    return M.paired_bootstrap(rows, "pred", "strict", 200).select(*[F.round(c, 9).alias(c) for c in ("delta", "low", "high", "b_better")], "verdict")
+
+
 def label_agreement(spark, sf_dir):
     """The toxic label against the quality label, as a binary confusion."""
     return M.binary(table(spark, sf_dir, "labels"), F.col("toxic") == 1, F.col("quality") == 0).select("tp", "fp", "fn", "tn", *[F.round(x, 9).alias(x) for x in ("precision", "recall", "f1", "accuracy", "fpr")])
@@ -94,7 +100,7 @@ def flagged_by_run(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (class_decisions, class_confusion, class_f1, score_summary, calibration_error, brier_score, temperature_curve, threshold_curve, threshold_plateau, bias_curve, bootstrap_intervals, label_agreement, sign_hash_distances, imputed_scores, flagged_by_run)
+    for f in (class_decisions, class_confusion, class_f1, score_summary, calibration_error, brier_score, temperature_curve, threshold_curve, threshold_plateau, bias_curve, bootstrap_intervals, paired_bootstrap, label_agreement, sign_hash_distances, imputed_scores, flagged_by_run)
 }
 
 SCORED = """
@@ -124,6 +130,23 @@ def curve(name: str, grid: str, pred: str) -> str:
 """
 
 
+def draws(names: str, boots: int) -> str:
+    """Resamples of the rows behind `cells`: places by digests, cell after cell."""
+    return f"""
+  o as (select {names}, sum(n) over (order by {names}) as high, sum(n) over (order by {names}) - n as low from cells), tot as (select cast(sum(n) as bigint) as total from cells),
+  j as (select boot, cast('0x' || substr(md5('1:' || boot || ':' || j), 1, 15) as bigint) % total as place from tot, (select unnest(range(1, {boots} + 1)) as boot), (select unnest(range(0, (select total from tot))) as j)),
+  dc as (select boot, {names}, count(*) as n from j join o on place >= low and place < high group by all)"""
+
+
+def resampled(pred: str, name: str) -> str:
+    return f"""
+  {name}_k as (select boot, unnest(range(0, 9)) as cls from (select distinct boot from dc)),
+  {name}_c as (select k.boot, k.cls, sum(case when gold = cls and {pred} = cls then n else 0 end) as tp, sum(case when gold = cls then n else 0 end) as support, sum(case when {pred} = cls then n else 0 end) as predicted
+     from {name}_k k join dc on dc.boot = k.boot group by k.boot, k.cls),
+  {name} as (select * from (select boot, avg(2.0 * tp / (support + predicted)) as macro_f1 from {name}_c where support > 0 group by 1)
+     join (select boot, sum(case when gold = {pred} then n else 0 end) / cast(sum(n) as double) as accuracy from dc group by 1) using (boot))"""
+
+
 AT_THRESHOLD = "case when probs[7] >= threshold then 6 else list_position(list_concat(probs[1:6], [-1.0], probs[8:9]), list_max(list_concat(probs[1:6], [-1.0], probs[8:9]))) - 1 end"
 WITH_BIAS = "list_position(list_concat(logits[1:6], [logits[7] + bias], logits[8:9]), list_max(list_concat(logits[1:6], [logits[7] + bias], logits[8:9]))) - 1"
 THRESHOLDS = curve("threshold", "list_transform(range(10, 100), lambda i: i / 100.0::double)", AT_THRESHOLD)
@@ -144,6 +167,12 @@ ORACLES = {
         r as (select *, sum(case when near then 0 else 1 end) over (order by threshold) as run from n), g as (select min(threshold) as low, max(threshold) as high, bool_or(best) as best from r where near group by run)
         select low, round((low + high) / 2, 9) as centre, high from g where best order by low limit 1""",
     "bias_curve": f"with {SCORED}, {curve('bias', 'list_transform(range(0, 25), lambda i: -3 + 0.25::double * i)', WITH_BIAS)} select bias, macro_f1 from curve",
+    "bootstrap_intervals": f"""with {SCORED}, {draws("gold, pred", 1000)}, {resampled("pred", "f")}, v as (select boot, macro_f1, accuracy from f)
+        select 'macro_f1' as metric, quantile_cont(macro_f1, 0.025) as low, quantile_cont(macro_f1, 0.975) as high from v union all select 'accuracy', quantile_cont(accuracy, 0.025), quantile_cont(accuracy, 0.975) from v""",
+    "paired_bootstrap": f"""with {SCORED.replace("cells as", "old as")}, strict as (select gold, pred, case when probs[7] >= 0.6 then 6 else list_position(list_concat(probs[1:6], [-1.0], probs[8:9]), list_max(list_concat(probs[1:6], [-1.0], probs[8:9]))) - 1 end as strict from s),
+        cells as (select gold, pred, strict, count(*) as n from strict group by all), {draws("gold, pred, strict", 200)}, {resampled("pred", "fa")}, {resampled("strict", "fb")}, d as (select fb.macro_f1 - fa.macro_f1 as d from fa join fb using (boot))
+        select round(avg(d), 9) as delta, round(quantile_cont(d, 0.025), 9) as low, round(quantile_cont(d, 0.975), 9) as high, round(avg(case when d > 0 then 1.0 else 0 end), 9) as b_better,
+          case when quantile_cont(d, 0.025) > 0 then 'b' when quantile_cont(d, 0.975) < 0 then 'a' else 'neither' end as verdict from d""",
     "imputed_scores": """
         with s as (select vec_id, list_transform(embedding[1:9], lambda x: case when x > 0 then round(cast(x as double), 4) end) as seen from embeddings)
         select vec_id, class, round(coalesce(seen[class + 1], list_min(seen) - 1, -21), 4) as score, round(len(list_filter(seen, lambda x: x is null)) / cast(len(seen) as double), 9) as missing

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import answers as A
 from ..functions import html as H
 from ..functions import pii as P
 from ..functions import sentences as S
@@ -142,11 +143,25 @@ def sites_of_hosts(spark, sf_dir):
     return domains.sites(hosts_of_pages(spark, sf_dir), domains.rules(lines))
 
 
+def model_answers(spark, sf_dir):
+    """What is left of an answer about each turn: a model is given the turn and quotes its beginning and words that it lacks, in one of six shapes."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    point = lambda severity, quote: F.struct(F.lit("arbitration").alias("category"), F.lit(severity).alias("severity"), F.lit("A title").alias("title"), F.lit("A detail").alias("detail"), quote.alias("quote"))
+    json = F.to_json(F.struct(F.array(point("high", F.substring("text", 1, 40)), point("low", F.lit("words that no turn says"))).alias("points")))
+    shapes = (
+        F.concat(F.lit("```json\n"), json, F.lit("\n```")), F.concat(F.lit("Here it is: "), json, F.lit(" Done.")), F.concat(json, F.lit(" "), json), F.substring(json, F.lit(1), F.length(json) - 3),
+        F.concat(F.lit('<think>{"points": []}</think>'), json), F.concat(F.lit("<think>never ends "), json),
+    )
+    answer = F.element_at(F.array(*shapes), (F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(len(shapes))) + 1).cast("int"))
+    rows = t.withColumn("points", A.summary_points(answer)).withColumn("f", A.finalised(F.col("points"), F.array("text")))
+    return rows.select("conv_id", "turn", F.col("points").isNotNull().alias("valid"), F.col("f.risk_score").cast("long").alias("risk_score"), F.size("f.points").cast("long").alias("kept"), F.col("f.dropped").cast("long").alias("dropped"))
+
+
 def normalised_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.normalised(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, guessed_addresses, page_texts, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns, ranked_clauses, sites_of_hosts)}
+QUERIES = {f.__name__: f for f in (first_documents, significant_word_counts, benchmark_overlap, near_duplicate_turns, near_duplicate_documents, legal_and_fee_cues, personal_data_counts, page_addresses, guessed_addresses, page_texts, previous_turns, quotes_in_documents, document_sentences, fee_sentences, normalised_turns, model_answers, ranked_clauses, sites_of_hosts)}
 
 KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 GRAMS = """list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end)"""
@@ -218,6 +233,11 @@ ORACLES = {
           (1, 1, 'auto_renewal', 'Your plan renews automatically unless you cancel it.'), (1, 2, 'no_refund', 'All fees are non-refundable once paid.'))
         select doc_id, cast(index as bigint) as index, kind, f.text as text from documents join f on doc_id % 3 = kind_
     """,
+    "model_answers": f"""
+        with t as (select conv_id, turn, coalesce(text, '') as text, (conv_id * 8 + turn) % 6 in (0, 1, 4) and coalesce(text, '') <> '' as valid from conversations),
+        q as (select conv_id, turn, valid, length({CANON.replace("(text,", "(substr(text, 1, 40),")}) >= 8 as quoted from t)
+        select conv_id, turn, valid, case when valid then case when quoted then 25 else 0 end end as risk_score, case when valid then case when quoted then 1 else 0 end end as kept, case when valid then case when quoted then 1 else 2 end end as dropped from q
+    """,
     "ranked_clauses": f"""
         with d as (select doc_id as clause, coalesce(source, '') as domain, lang as category, doc_id % 3 <> 0 as current, {TOKENS} as w from documents),
         p as (select clause, len(w) as n, unnest(w) as word from d), t as (select clause, n, word, count(*) as tf from p group by all),

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,16 +89,29 @@ def in_batch(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "at_ms", "ord").mapInPandas(walk, _schema(rows))
 
 
-def in_stream(rows: DataFrame, rule: Rule) -> DataFrame:
-    """The same over a stream, in append mode: requests of one micro-batch in order of time, batches as they come."""
+def in_stream(rows: DataFrame, rule: Rule, idle_ms: int, late: str = "1 minute") -> DataFrame:
+    """The same over a stream, in append mode: requests of one micro-batch in order of time, batches as they come.
+
+    A key that rests for `idle_ms` of the requests' own time is forgotten, so the state holds recent keys alone.  That
+    changes nothing where a rule remembers no longer: a bucket is full again after its refill, a window is over.
+    Requests that come more than `late` after the newest of the stream are dropped.
+    """
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         memory = list(state.get[0]) if state.exists else []
-        done, memory = _judged(pd.concat(list(batches)).sort_values(["at_ms", "ord"]), memory, rule)
+        some = pd.concat(list(batches)).sort_values(["at_ms", "ord"])
+        done, memory = _judged(some.drop(columns="_at"), memory, rule)
         state.update((memory,))
+        # A timer must lie after the watermark.
+        state.setTimeoutTimestamp(max(int(some["at_ms"].iloc[-1]) + 1 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield done
 
-    return rows.groupBy("key").applyInPandasWithState(walk, _schema(rows), "memory array<double>", "append", GroupStateTimeout.NoTimeout)
+    # A stream's watermark begins at 0, and what lies there would be late: times count from 1.
+    timed = rows.withColumn("_at", F.timestamp_millis(F.col("at_ms").cast("long") + 1)).withWatermark("_at", late)
+    return timed.groupBy("key").applyInPandasWithState(walk, _schema(rows), "memory array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def two_levels(rows: DataFrame, per_key: Rule, overall: Rule) -> DataFrame:
@@ -105,8 +119,6 @@ def two_levels(rows: DataFrame, per_key: Rule, overall: Rule) -> DataFrame:
 
     The second is one sequence by nature: what passes the first level goes through one task, which holds only its rule's memory.
     """
-    from pyspark.sql import functions as F
-
     first = in_batch(rows, per_key)
     passed = first.where("allowed").drop("allowed", "wait_ms").withColumn("_key", F.col("key")).withColumn("key", F.lit("all"))
     second = in_batch(passed, overall).withColumn("key", F.col("_key")).drop("_key")

@@ -44,12 +44,33 @@ def test_stream_equals_batch(spark, tmp_path):
     for n in range(3):
         spark.createDataFrame(rows[n * 20 : n * 20 + 20], COLUMNS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in"))
-    q = limits.in_stream(stream, rule).writeStream.format("memory").queryName("judged").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = limits.in_stream(stream, rule, 1000).writeStream.format("memory").queryName("judged").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     want = limits.in_batch(spark.createDataFrame(rows, COLUMNS), rule)
     assert sorted(spark.table("judged").collect()) == sorted(want.collect())
 
 
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    """Keys come once each, later ones later: only recent ones stay, and what is judged does not change; very late requests are dropped."""
+    rule = limits.token_bucket(1, 5_000)
+    batches = [[(f"k{b}-{i}", b * 100_000.0 + i, False, b * 10 + i) for i in range(5)] for b in range(4)]
+    batches[3].append(("k3-0", 3 * 100_000.0 + 9, False, 99))
+    batches.append([("late", 5.0, False, 500), ("new", 400_000.0, False, 501)])
+    stream_in, where = str(tmp_path / "in"), str(tmp_path / "c")
+    seen, kept = 0, []
+    for rows in batches:
+        spark.createDataFrame(rows, COLUMNS).coalesce(1).write.mode("append").json(stream_in)
+        stream = spark.readStream.schema(COLUMNS).json(stream_in)
+        q = limits.in_stream(stream, rule, 5_000, "1 second").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", where).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        kept.append(q.recentProgress[-1].stateOperators[0].numRowsTotal if q.recentProgress else 0)
+        seen += len(rows)
+    out = {r.ord: (r.allowed, r.wait_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(out) == seen - 1 and 500 not in out
+    assert out[99] == (False, 4_991) and all(ok for n, (ok, _) in out.items() if n != 99)
+    assert max(kept) <= 11, kept
+
+
 def test_changes(spark):
     t0 = datetime(2026, 1, 1)
     at = lambda ms: t0 + timedelta(milliseconds=ms)
