@@ -69,3 +69,13 @@ def test_near_duplicates_of_one_table(spark):
     assert got == [(1, 1, 4, 1.0), (1, 2, 4, 1.0), (1, 3, 3, 0.6), (2, 2, 4, 1.0), (2, 3, 3, 0.6), (3, 3, 4, 1.0), (4, 4, 1, 1.0), (4, 5, 1, 1.0), (5, 5, 1, 1.0), (8, 8, 2, 1.0)]
     other = spark.createDataFrame([(1, "a b c d e f"), (9, "m n o p")], "id long, text string")
     assert sorted((r.left_id, r.right_id) for r in similar.near_duplicates(rows, other, 0.5).collect()) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_quotes_of_any_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "He said: “Arbitration binds” and went."), (2, "internationalisation"), (3, "all of these words stand in a row here"), (4, ""), (5, None), (6, "übergrößenträger 🙂🙂🙂🙂🙂🙂🙂🙂")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "arbitration BINDS"), (2, "nationalis"), (3, "words stand in a row"), (4, "short"), (5, "ords stand in a ro"), (6, "größenträ"), (7, "🙂🙂🙂🙂🙂🙂🙂🙂"), (8, None), (9, "not anywhere at all")], "item_id long, text string")
+    want = [(1, 1), (2, 2), (3, 3), (3, 5), (6, 6), (6, 7)]
+    for bytes_ in (8_000_000, 0):
+        monkeypatch.setattr(similar, "BROADCAST_BYTES", bytes_)
+        assert sorted((r.doc_id, r.item_id) for r in similar.quoting(docs, items).collect()) == want
+    assert similar.quoting(docs, items.where("item_id = 4")).count() == 0
