@@ -37,31 +37,3 @@ def running_sums(values: Column) -> Column:
         return let(firsts, lambda f: F.transform(indices(F.size(v)), lambda i: F.get(f, F.floor(i / step).cast("int")) + total(F.slice(v, F.floor(i / step).cast("int") * step + 1, i % step + 1).cast("array<long>"))))
 
     return let(values, lambda v: let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v)))).cast("int"), lambda step: by_block(v, step)))
-
-
-#: Values of a block of `running_xor`.
-BLOCK = 16
-
-
-def running_xor(values: Column, levels: int = 4) -> Column:
-    """Inclusive running exclusive-or of an array<long>, by blocks of BLOCK and, above them, running ones of the blocks' own.
-
-    About ten steps a value, up to BLOCK ** levels values; above, blocks of blocks grow.
-    """
-    xor = lambda a, x: a.bitwiseXOR(x)
-    folded = lambda part: F.aggregate(part, F.lit(0).cast("long"), xor)
-
-    def of(v: Column) -> Column:
-        n = F.size(v)
-        inside = F.transform(v, lambda _, i: folded(F.slice(v, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK + 1)))
-        if levels == 1:
-            return F.transform(v, lambda _, i: folded(F.slice(v, F.lit(1), i + 1)))
-
-        def joined(own: Column) -> Column:
-            ends = F.transform(indices(F.floor(n / BLOCK)), lambda b: F.get(own, b * BLOCK + (BLOCK - 1)))
-            before = running_xor(ends, levels - 1)
-            return let(before, lambda e: F.transform(own, lambda x, i: F.when(i < BLOCK, x).otherwise(x.bitwiseXOR(F.get(e, F.floor(i / BLOCK).cast("int") - 1)))))
-
-        return F.when(n <= BLOCK, inside).otherwise(let(inside, joined))
-
-    return let(values, of)

@@ -1,8 +1,8 @@
 """Winnowing fingerprints, and their likeness between documents.
 
-Each gram of K words has a rolling hash: the exclusive-or of its words' hashes, each rotated by its place (a cyclic
-polynomial).  Running exclusive-ors of the words, rotated by their place in the text, are computed once; a gram is what
-two of them differ in, turned back by its own place.  Of each window of grams the least hash is kept, the rightmost of
+Each gram of K words has a rolling hash, a cyclic polynomial: the exclusive-or of its words' hashes, each rotated by its
+distance from the gram's end.  A word is hashed once; grams of all places roll together by doubling, so that a gram of 2 m
+words is one of m, rotated by m, with the next.  Of each window of grams the least hash is kept, the rightmost of
 equals, with its position.
 
 A window holds W grams in a text of 16 W grams or more, and in shorter texts the largest power of two that is a 16th of
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .native import indices, let, running_xor, words
+from .native import indices, let, words
 
 K, W = 2, 8
 #: Windows of a gram's length in a text: one of w grams needs so many times w.
@@ -27,19 +27,17 @@ GRAMS_A_WINDOW = 16
 LONG, PIECE = 64, 3
 #: What is written without spaces: Han, kana, Thai, Lao, Khmer, Burmese.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Ranges in which all of these lie.
+MAY_BE_UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u19E0-\u19FF\u2E80-\uFFFF\x{10000}-\x{10FFFF}]"
 #: Documents of a bucket on average; up to this many buckets, the table of their first documents is broadcast, beyond that it is joined by a shuffle.
 BUCKET_ROWS, BROADCAST_BUCKETS, QUANTILES = 1000, 65_536, 256
 #: An id of more rows than so many buckets hold is dealt out by the hash of the text.
 FULL = 4
 
 
-def _least_with(values: Column, step: int) -> Column:
-    """Each value or the one `step` after it, whichever is less."""
-    return let(values, lambda v: F.transform(v, lambda x, i: F.least(x, F.get(v, i + step))))
-
-
 def _where_wider(values: Column, wide: Column, step: int) -> Column:
-    return let(values, lambda v: F.when(wide > step, _least_with(v, step)).otherwise(v))
+    """In texts of windows wider than `step`, each value or the one `step` after it, whichever is less."""
+    return let(values, lambda v: F.when(wide > step, F.transform(v, lambda x, i: F.least(x, F.get(v, i + step)))).otherwise(v))
 
 
 def units(text: Column) -> Column:
@@ -47,28 +45,40 @@ def units(text: Column) -> Column:
     runs = lambda cs: F.transform(indices(F.size(cs) - (PIECE - 1)), lambda i: F.concat(*[F.get(cs, i + j) for j in range(PIECE)]))
     whole = lambda w: (F.length(w) < PIECE) | ~((F.length(w) > LONG) | w.rlike(UNSPACED))
     cut = lambda w: F.when(whole(w), F.array(w)).otherwise(let(F.filter(F.split(w, ""), lambda c: c != ""), runs))
-    some = text.rlike(r"%s|[^\x20\x09-\x0D]{%d}" % (UNSPACED, LONG + 1))
+    # Plain ranges are looked for first: a script is a costly question of each character.
+    long = text.rlike(r"(?:^|[\x20\x09-\x0D])[^\x20\x09-\x0D]{%d}" % (LONG + 1))
+    some = long | text.rlike(MAY_BE_UNSPACED) & text.rlike(UNSPACED)
     return F.when(some, F.flatten(F.transform(words(text), cut))).otherwise(words(text))
 
 
-def _rotated(x: Column, by: Column) -> Column:
+def _rotated(x: Column, by: int) -> Column:
     """The 64 bits of x turned left."""
-    turn = lambda n: F.pmod(n, F.lit(64)).cast("int")
-    return F.call_function("shiftleft", x, turn(by)).bitwiseOR(F.call_function("shiftrightunsigned", x, turn(-by)))
+    by %= 64
+    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
+
+
+def _rolled(left: Column, right: Column, m: int, r: int) -> Column:
+    """Hashes of m + r words in a row, from those of m words and of the r after them."""
+    both = lambda a, b: F.transform(F.slice(a, F.lit(1), F.greatest(F.size(b) - m, F.lit(0))), lambda x, i: _rotated(x, r).bitwiseXOR(F.get(b, i + m)))
+    return let(left, lambda a: both(a, a)) if left is right else let(left, lambda a: let(right, lambda b: both(a, b)))
 
 
 def grams(ws: Column, k: int) -> Column:
     """Rolling hash of each k words in a row; of all words where there are fewer."""
 
-    def of(running: Column) -> Column:
-        n = F.size(running)
-        count = F.when(n == 0, 0).otherwise(F.greatest(n - (k - 1), F.lit(1)))
-        # Word j is rotated by -j in the running values; its place in the gram at i turns it by k - 1 - (j - i).
-        part = lambda i: F.get(running, F.least(i + (k - 1), n - 1)).bitwiseXOR(F.when(i > 0, F.get(running, i - 1)).otherwise(F.lit(0).cast("long")))
-        return F.transform(indices(count), lambda i: _rotated(part(i), i + (k - 1)))
+    def of(hashes: Column) -> Column:
+        n = F.size(hashes)
+        power, size, out, done = hashes, 1, None, 0
+        while True:
+            if k & size:
+                out, done = (power, size) if out is None else (_rolled(out, power, done, size), done + size)
+            if done == k:
+                break
+            power, size = _rolled(power, power, size, size), 2 * size
+        short = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: _rotated(a, 1).bitwiseXOR(x))
+        return F.when(n >= k, out).when(n > 0, F.array(short)).otherwise(F.array().cast("array<long>"))
 
-    placed = F.transform(ws, lambda w, j: _rotated(F.xxhash64(w), -j))
-    return let(running_xor(placed), of)
+    return let(F.transform(ws, lambda w: F.xxhash64(w)), of)
 
 
 def window(count: Column, w: int) -> Column:
@@ -138,12 +148,15 @@ def likeness(a: Column, b: Column, w: int = W) -> Column:
         common = F.size(F.array_intersect(x, y)).cast("double")
         return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(common / (F.size(x) + F.size(y) - common))
 
-    def at(wide: Column) -> Column:
+    def at(fps: Column) -> Column:
+        one, two = F.get(fps, 0), F.get(fps, 1)
+        wide = F.greatest(window(one["grams"], w), window(two["grams"], w))
         marks = lambda fp: F.when(window(fp["grams"], w) == wide, fp["marks"]).otherwise(widened(fp, wide))
-        hashes = lambda fp: F.array_distinct(F.transform(marks(fp), lambda m: m["hash"]))
-        return let(hashes(a), lambda x: let(hashes(b), lambda y: of(x, y)))
+        hashes = F.transform(F.array(marks(one), marks(two)), lambda ms: F.array_distinct(F.transform(ms, lambda m: m["hash"])))
+        return let(hashes, lambda h: of(F.get(h, 0), F.get(h, 1)))
 
-    return let(F.greatest(window(a["grams"], w), window(b["grams"], w)), at)
+    # Both are used many times: each is computed once.
+    return let(F.array(a, b), at)
 
 
 def bucketed(docs: DataFrame, id_col: str) -> tuple[Column, int]:

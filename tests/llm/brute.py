@@ -122,7 +122,7 @@ def winnow(text, k, w, wide=None):
     for i in range(n):
         g = 0
         for j, word in enumerate(ws[i : i + k]):
-            g ^= turn(word_hash(word), k - 1 - j)
+            g ^= turn(word_hash(word), min(k, len(ws)) - 1 - j)
         grams.append(g)
     if wide is None:
         wide = max(x for x in (1, 2, 4, 8, 16) if x == 1 or x <= w and n >= 16 * x)

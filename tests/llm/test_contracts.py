@@ -123,11 +123,12 @@ def test_op8(spark, tiny, docs):
         own, edited = brute.winnow(text, k, w)[1], brute.winnow(new, k, w)[1]
         assert (r.fingerprint, r.edited_fingerprint) == (written(own), written(edited))
         assert r.near_edited == pytest.approx(like(text, new)) and r.near_next == pytest.approx(like(text, after))
-        if len(brute.words(text)) > 300:
+        # One word over and over is one gram over and over, and the rightmost of equals is another in each window.
+        if len(set(brute.words(text))) > 300:
             assert len(own) < len(brute.words(text)) / 3
             written_bytes, text_bytes = written_bytes + len(r.fingerprint), text_bytes + len(text.encode())
             words += 1
-    assert differ > 20 and words > 20 and written_bytes < text_bytes
+    assert differ > 20 and words > 10 and written_bytes < text_bytes
 
 
 def check_packed(rows, tokens, size=2048):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from clauselake.llm import winnowing
 
+from . import brute
+
 
 def likenesses(spark, pairs):
     rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
@@ -37,3 +39,11 @@ def test_insertion(spark):
     rows = spark.createDataFrame([(block, block[:200] + "__" + block[200:])], "a string, b string")
     near = rows.select(winnowing.likeness(winnowing.fingerprint(F.col("a")), winnowing.fingerprint(F.col("b"))).alias("x")).first().x
     assert 0.9 < near < 1
+
+
+def test_grams_of_any_length(spark):
+    texts = [" ".join(f"w{i % 7}" for i in range(n)) for n in (0, 1, 2, 3, 6, 7, 8, 40)]
+    for k in (1, 2, 3, 5, 6, 8):
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", winnowing.grams(winnowing.units(F.col("t")), k).alias("g")).orderBy("i").collect()
+        for r, t in zip(rows, texts):
+            assert [g & (1 << 64) - 1 for g in r.g] == [h for h, _ in brute.winnow(t, k, 1)[1]]
