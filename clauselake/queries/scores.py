@@ -59,7 +59,7 @@ def bias_curve(spark, sf_dir):
 
 
 def bootstrap_intervals(spark, sf_dir):
-    return M.bootstrap(scored(spark, sf_dir), 1000)
+    return M.bootstrap(scored(spark, sf_dir), 1000).select("metric", *[F.round(c, 9).alias(c) for c in ("low", "high")])
 
 
 def paired_bootstrap(spark, sf_dir):
@@ -168,7 +168,7 @@ ORACLES = {
         select low, round((low + high) / 2, 9) as centre, high from g where best order by low limit 1""",
     "bias_curve": f"with {SCORED}, {curve('bias', 'list_transform(range(0, 25), lambda i: -3 + 0.25::double * i)', WITH_BIAS)} select bias, macro_f1 from curve",
     "bootstrap_intervals": f"""with {SCORED}, {draws("gold, pred", 1000)}, {resampled("pred", "f")}, v as (select boot, macro_f1, accuracy from f)
-        select 'macro_f1' as metric, quantile_cont(macro_f1, 0.025) as low, quantile_cont(macro_f1, 0.975) as high from v union all select 'accuracy', quantile_cont(accuracy, 0.025), quantile_cont(accuracy, 0.975) from v""",
+        select 'macro_f1' as metric, round(quantile_cont(macro_f1, 0.025), 9) as low, round(quantile_cont(macro_f1, 0.975), 9) as high from v union all select 'accuracy', round(quantile_cont(accuracy, 0.025), 9), round(quantile_cont(accuracy, 0.975), 9) from v""",
     "paired_bootstrap": f"""with {SCORED.replace("cells as", "old as")}, strict as (select gold, pred, case when probs[7] >= 0.6 then 6 else list_position(list_concat(probs[1:6], [-1.0], probs[8:9]), list_max(list_concat(probs[1:6], [-1.0], probs[8:9]))) - 1 end as strict from s),
         cells as (select gold, pred, strict, count(*) as n from strict group by all), {draws("gold, pred, strict", 200)}, {resampled("pred", "fa")}, {resampled("strict", "fb")}, d as (select fb.macro_f1 - fa.macro_f1 as d from fa join fb using (boot))
         select round(avg(d), 9) as delta, round(quantile_cont(d, 0.025), 9) as low, round(quantile_cont(d, 0.975), 9) as high, round(avg(case when d > 0 then 1.0 else 0 end), 9) as b_better,
