@@ -90,14 +90,14 @@ def pages_without_terms(spark, sf_dir):
 
 
 def pages_judged(spark, sf_dir):
-    """The verdict on every page: its forms and signals go through the rules."""
+    """The verdict on every page: its forms and signals go through the rules.  Form -1: the page by itself."""
     pages = P.walked(ended(spark, sf_dir))
     contexts, forms, fields = P.form_tables(pages)
     hits = R.page_hits(P.signal_table(pages))
     none = spark.createDataFrame([], "domain string")
     scored = R.forms_scored(forms, fields, contexts, none, spark.createDataFrame([], "host string"), hits)
     rows = R.pages_assessed(scored, hits)
-    return rows.select(F.col("page").alias("page_id"), F.col("form").cast("long").alias("form"), F.col("score").cast("long").alias("score"), F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("hits"), "verdict")
+    return rows.select(F.col("page").alias("page_id"), F.coalesce(F.col("form").cast("long"), F.lit(-1)).alias("form"), F.col("score").cast("long").alias("score"), F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("hits"), "verdict")
 
 
 QUERIES = {f.__name__: f for f in (page_form_fields, page_signals, page_links, terms_candidates, terms_found, pages_without_terms, pages_judged)}
@@ -153,8 +153,8 @@ ORACLES = {
     "pages_without_terms": f"with {PARTS} select page_id from q where kind = 2 and host like '%.%' and not regexp_matches(path, '(?i)terms|privacy')",
     "pages_judged": f"""
         with {PARTS}, v(kind, form, score, hits, verdict) as (values
-          (0, null, 0, '', 'safe'), (1, 0, 0, '', 'safe'), (2, 0, 45, 'credit_card_fields,cross_origin_action', 'caution'), (3, 0, 0, '', 'safe'), (4, null, 40, 'telegram_bot_token', 'danger'),
-          (5, null, 60, 'exfil_sink_endpoint,devtools_blocked', 'caution'), (6, 0, 15, 'identity_triplet', 'safe'), (7, 0, 50, 'devtools_blocked,bank_account_field', 'caution'), (8, 0, 30, 'password_over_http', 'caution'))
+          (0, -1, 0, '', 'safe'), (1, 0, 0, '', 'safe'), (2, 0, 45, 'credit_card_fields,cross_origin_action', 'caution'), (3, 0, 0, '', 'safe'), (4, -1, 40, 'telegram_bot_token', 'danger'),
+          (5, -1, 60, 'exfil_sink_endpoint,devtools_blocked', 'caution'), (6, 0, 15, 'identity_triplet', 'safe'), (7, 0, 50, 'devtools_blocked,bank_account_field', 'caution'), (8, 0, 30, 'password_over_http', 'caution'))
         select page_id, cast(form as bigint) as form, cast(score as bigint) as score, hits, verdict
         from (select page_id, case when kind = 3 and scheme <> 'https' then 8 else kind end as kind from q) join v using (kind)
     """,

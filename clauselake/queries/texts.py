@@ -154,7 +154,8 @@ def model_answers(spark, sf_dir):
     )
     answer = F.element_at(F.array(*shapes), (F.pmod(F.col("conv_id") * 8 + F.col("turn"), F.lit(len(shapes))) + 1).cast("int"))
     rows = t.withColumn("points", A.summary_points(answer)).withColumn("f", A.finalised(F.col("points"), F.array("text")))
-    return rows.select("conv_id", "turn", F.col("points").isNotNull().alias("valid"), F.col("f.risk_score").cast("long").alias("risk_score"), F.size("f.points").cast("long").alias("kept"), F.col("f.dropped").cast("long").alias("dropped"))
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    return rows.select("conv_id", "turn", F.col("points").isNotNull().alias("valid"), number(F.col("f.risk_score")).alias("risk_score"), number(F.size(F.coalesce("f.points", F.array()))).alias("kept"), number(F.col("f.dropped")).alias("dropped"))
 
 
 def normalised_turns(spark, sf_dir):
@@ -236,7 +237,7 @@ ORACLES = {
     "model_answers": f"""
         with t as (select conv_id, turn, coalesce(text, '') as text, (conv_id * 8 + turn) % 6 in (0, 1, 4) and coalesce(text, '') <> '' as valid from conversations),
         q as (select conv_id, turn, valid, length({CANON.replace("(text,", "(substr(text, 1, 40),")}) >= 8 as quoted from t)
-        select conv_id, turn, valid, case when valid then case when quoted then 25 else 0 end end as risk_score, case when valid then case when quoted then 1 else 0 end end as kept, case when valid then case when quoted then 1 else 2 end end as dropped from q
+        select conv_id, turn, valid, cast(case when valid and quoted then 25 else 0 end as bigint) as risk_score, cast(case when valid and quoted then 1 else 0 end as bigint) as kept, cast(case when not valid then 0 when quoted then 1 else 2 end as bigint) as dropped from q
     """,
     "ranked_clauses": f"""
         with d as (select doc_id as clause, coalesce(source, '') as domain, lang as category, doc_id % 3 <> 0 as current, {TOKENS} as w from documents),
