@@ -177,7 +177,6 @@ BLOCKS = (
     ("contextmenu_block", r"""(?i)addEventListener\s*\(\s*['"](?:contextmenu|selectstart|dragstart)['"]|oncontextmenu\s*="""),
 )
 RUNNING = ("", "text/javascript", "application/javascript", "module", "text/babel", "application/ecmascript")
-KEPT_AS_TEXT = "data-ppg-defused"
 LITERAL = r"""(?i)https?://[^\s'"`<>\\)]+"""
 ICON = r"\b(?:icon|shortcut|apple-touch-icon|mask-icon)\b"
 SCRIPT_CHARS, HOSTS = 300_000, 50
@@ -185,7 +184,9 @@ SCRIPT_CHARS, HOSTS = 300_000, 50
 
 def script_texts(p: Column, budget: int = SCRIPT_CHARS) -> Column:
     """The texts of scripts that run, in order, `budget` characters in all: the script that reaches it is cut, later ones are left out."""
-    runs = lambda e: D.has(e, KEPT_AS_TEXT) | D.trimmed(F.lower(D.attr(e, "type"))).isin(*RUNNING)
+    # A saved page keeps its scripts as text, each with an attribute data-...-defused.
+    kept = lambda e: F.exists(F.map_keys(e["attrs"]), lambda k: k.startswith("data-") & k.endswith("-defused"))
+    runs = lambda e: kept(e) | D.trimmed(F.lower(D.attr(e, "type"))).isin(*RUNNING)
     texts = F.filter(F.transform(D.elements(p, lambda e: (e["tag"] == "script") & runs(e)), lambda e: D.raw_text(p, e)), lambda t: t != "")
     begun = F.struct(F.lit(budget).alias("left"), F.array().cast("array<string>").alias("texts"))
 

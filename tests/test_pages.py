@@ -114,7 +114,7 @@ def test_sinks(spark):
         ("<script src='https://discordapp.com/api/webhooks/1'></script>", ["discord_webhook"]),
         ("<form action='https://formspree.io/f/x'></form>", ["form_relay"]),
         ("<script>'https://hooks.slack.com/services/T' + 'https://abc.ngrok-free.app'</script>", ["slack_webhook", "request_bin"]),
-        ("<script type='text/plain' data-ppg-defused>https://sink.invalid/pastebin.com/api</script>", ["paste_sink"]),
+        ("<script type='text/plain' data-saved-defused>https://sink.invalid/pastebin.com/api</script>", ["paste_sink"]),
         ("<script type='text/plain'>https://webhook.site/x</script><p>https://webhook.site/x</p>", []),
         ("<script>'https://notwebhook.sites/'</script>", []),
     )
