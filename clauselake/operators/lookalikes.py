@@ -28,8 +28,8 @@ def lookalikes(hosts: DataFrame, index: DataFrame) -> DataFrame:
     """
     h = hosts.select("host").where("host is not null").distinct().withColumn("_d", F.lower(H.decoded(F.col("host"))))
     h = h.withColumn("_site", U.registrable(F.col("_d"))).withColumn("_label", F.split("_site", r"\.")[0]).where("_label <> ''")
-    h = h.join(F.broadcast(index.select(F.col("domain").alias("_site")).distinct()), "_site", "left_anti").withColumn("_folded", H.folded(F.col("_label")))
-    brands = F.broadcast(index.select("ord", "name", "label", "folded"))
+    h = h.join(index.select(F.col("domain").alias("_site")).distinct(), "_site", "left_anti").withColumn("_folded", H.folded(F.col("_label")))
+    brands = index.select("ord", "name", "label", "folded")
     found = lambda df, rank, kind, distance, matched: df.select("host", "ord", "name", F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), distance.cast("int").alias("distance"), matched.alias("matched"))
     alike = found(h.join(brands, F.col("_folded") == F.col("folded")), 0, "homoglyph", F.lit(0), F.col("_label"))
     words = h.withColumn("_word", F.explode(F.array_distinct(F.transform(H.tokens(F.col("_d")), lambda t: t)))).withColumn("_word", H.folded(F.col("_word")))
@@ -43,7 +43,7 @@ def lookalikes(hosts: DataFrame, index: DataFrame) -> DataFrame:
     longest = long_.agg(F.max(F.length("part"))).first()[0] or 1
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.length("_folded") - n, F.lit(0))), lambda i: F.struct(F.substr("_folded", i + 1, n).alias("part"), i.alias("place")))))
     near = h.select("host", "_label", "_folded", F.explode(pieces).alias("q")).select("host", "_label", "_folded", "q.part", "q.place")
-    met = near.join(F.broadcast(long_), "part").where(F.abs(F.col("place") - F.col("at")) <= 2).select("host", "_label", "_folded", "ord", "name", "label", "folded").distinct()
+    met = near.join(long_, "part").where(F.abs(F.col("place") - F.col("at")) <= 2).select("host", "_label", "_folded", "ord", "name", "label", "folded").distinct()
     met = met.withColumn("_far", H.distance_within(F.col("_folded"), F.col("folded"), 2)).where(F.col("_far") <= H.edit_budget(F.length("folded")))
     typed = found(met, 1, "typo", F.col("_far"), F.col("_label"))
     every = alike.unionByName(typed).unionByName(impersonated)

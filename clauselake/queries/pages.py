@@ -100,7 +100,25 @@ def pages_judged(spark, sf_dir):
     return rows.select(F.col("page").alias("page_id"), F.coalesce(F.col("form").cast("long"), F.lit(-1)).alias("form"), F.col("score").cast("long").alias("score"), F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("hits"), "verdict")
 
 
-QUERIES = {f.__name__: f for f in (page_form_fields, page_signals, page_links, terms_candidates, terms_found, pages_without_terms, pages_judged)}
+#: Brands of the icons that pages show, by the first hex digit of the md5 of the host; the other icons are no brand's.
+ICON_BRANDS = {"example.net": "01234567", "example.org": "89ab"}
+
+
+def pages_told(spark, sf_dir):
+    """What a reader is told of every page, its icon known: every host shows one of 16 icons, a sixteenth of them cannot be read."""
+    pages = P.walked(ended(spark, sf_dir))
+    contexts, forms, fields = P.form_tables(pages)
+    icon = lambda digit: F.substring(F.md5(F.concat(F.lit("icon "), digit).cast("binary")), 1, 16)
+    url = table(spark, sf_dir, "pages").select("url", U.host(F.col("url")).alias("host")).where("host is not null")
+    digits = F.md5(F.col("host").cast("binary"))
+    icons = url.select(F.concat(U.origin(F.col("url")), F.lit("/favicon.ico")).alias("url"), F.when(F.substr(digits, F.lit(2), F.lit(1)) != "0", icon(F.substr(digits, F.lit(1), F.lit(1)))).alias("hash")).distinct()
+    known = spark.createDataFrame([(b, d) for b, ds in ICON_BRANDS.items() for d in ds], "brand string, digit string").select("brand", icon(F.col("digit")).alias("hash"))
+    found = R.form_hits(forms, fields, contexts, known.select(F.col("brand").alias("domain")), spark.createDataFrame([], "host string"))
+    rows = R.assessed(P.signal_table(pages), found, icons, known)
+    return rows.select(F.col("page").alias("page_id"), F.coalesce(F.col("form").cast("long"), F.lit(-1)).alias("form"), F.col("score").cast("long").alias("score"), F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("hits"), "verdict", "asked")
+
+
+QUERIES = {f.__name__: f for f in (page_form_fields, page_signals, page_links, terms_candidates, terms_found, pages_without_terms, pages_judged, pages_told)}
 
 #: Parts of an address, for SQL.
 PARTS = r"""
@@ -158,4 +176,21 @@ ORACLES = {
         select page_id, cast(form as bigint) as form, cast(score as bigint) as score, hits, verdict
         from (select page_id, case when kind = 3 and scheme <> 'https' then 8 else kind end as kind from q) join v using (kind)
     """,
+    "pages_told": f"""
+        with {PARTS}, v(kind, form, score, hits, verdict, asked) as (values
+          (0, -1, 0, '', 'safe', false), (1, -1, 0, '', 'safe', false), (2, 0, 45, 'credit_card_fields,cross_origin_action', 'caution', true), (3, -1, 0, '', 'safe', false), (4, -1, 40, 'telegram_bot_token', 'danger', true),
+          (5, -1, 60, 'exfil_sink_endpoint,devtools_blocked', 'caution', true), (6, -1, 0, '', 'safe', false), (7, 0, 50, 'devtools_blocked,bank_account_field', 'caution', true), (8, 0, 30, 'password_over_http', 'caution', true)
+        ), w(kind, hits) as (values
+          (2, 'favicon_brand_mismatch,credit_card_fields,cross_origin_action'), (4, 'telegram_bot_token,favicon_brand_mismatch'), (5, 'exfil_sink_endpoint,favicon_brand_mismatch,devtools_blocked'),
+          (7, 'favicon_brand_mismatch,devtools_blocked,bank_account_field'), (8, 'favicon_brand_mismatch,password_over_http')
+        ), b as (
+          select page_id, case when kind = 3 and scheme <> 'https' then 8 else kind end as kind, regexp_extract(host, '[^.]*[.][^.]*$') as site,
+            case when host = '' or md5(host)[2] = '0' then null {" ".join(f"when contains('{ds}', md5(host)[1]) then '{b}'" for b, ds in ICON_BRANDS.items())} end as brand
+          from q
+        ), m as (select b.*, v.form, v.score, v.hits, v.verdict, v.asked, w.hits as other, v.asked and coalesce(brand <> site, false) as shown, site in ({", ".join(f"'{b}'" for b in ICON_BRANDS)}) and form >= 0 as own from b join v using (kind) left join w using (kind))
+        select page_id, cast(form as bigint) as form, cast(case when shown then score + 35 else score end as bigint) as score,
+          case when shown then other || case when own then ',known_brand_domain' else '' end else hits end as hits,
+          case when not shown then verdict when own then 'caution' else 'danger' end as verdict, asked
+        from m
+    """,
 }

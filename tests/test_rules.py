@@ -75,3 +75,31 @@ def test_pages(spark):
     assert {r.page: (r.score, r.verdict) for r in rules.standalone(hits).collect()} == {1: (40, "danger"), 2: (0, "safe"), 3: (95, "danger"), 4: (0, "safe"), 5: (0, "safe")}
     forms = spark.createDataFrame([(2, 0, 30, [], "caution"), (2, 1, 30, [], "caution"), (2, 2, 10, [], "safe")], f"page int, form int, score int, hits {rules.HITS}, verdict string")
     assert {r.page: (r.form, r.score) for r in rules.pages_assessed(forms, hits).collect()} == {1: (None, 40), 2: (0, 30), 3: (None, 95), 4: (None, 0), 5: (None, 0)}
+
+
+def test_icons_are_looked_up_once_something_was_said(spark):
+    mark, near, other = "0123456789abcdef", "0123456789abcde0", "f" * 16
+    ask = lambda page, host, urls, sinks=(), sensitive=False: (page, host, urls, [], [], list(sinks or ()), [], None, sensitive)
+    signals = spark.createDataFrame(
+        [
+            ask(1, "a.com", ["https://a.com/broken", None, "https://a.com/i"]),  # its second form is the worst, the first icon that reads counts
+            ask(2, "b.com", ["https://b.com/i"]),  # says nothing: never asked
+            ask(3, "c.com", None, ["paste_sink"]),
+            ask(4, "d.com", ["https://d.com/i", "https://a.com/i"], ["paste_sink"]),  # another's icon comes first
+            ask(5, "brand.com", ["https://a.com/i"], ["telegram_bot_token"]),
+            ask(6, "mine.org", ["https://a.com/i"], ["telegram_bot_token"]),
+            ask(7, None, [], None),
+            ask(8, "e.com", ["https://a.com/i"]),  # two forms alike
+        ],
+        SIGNALS,
+    )
+    hit = lambda *points: [(f"r{p}", p) for p in points]
+    found = [(1, 0, hit(10), False, False), (1, 1, hit(25, 20), False, False), (2, 0, hit(25), False, False), (6, 0, hit(60), False, True), (8, 1, hit(30), True, False), (8, 0, hit(30), True, False)]
+    found = spark.createDataFrame(found, f"page int, form int, own {rules.HITS}, known boolean, free boolean")
+    icons = spark.createDataFrame([("https://a.com/broken", None), ("https://a.com/i", near), ("https://b.com/i", near), ("https://d.com/i", other), (None, mark)], "url string, hash string")
+    known = spark.createDataFrame([("brand.com", mark)], "brand string, hash string")
+    of = lambda icons_, known_: {r.page: (r.form, r.score, r.verdict, r.asked) for r in rules.assessed(signals.drop("icon_brand"), found, icons_, known_, ["mine.org"]).collect()}
+    plain = {2: (None, 0, "safe", False), 3: (None, 35, "caution", True), 4: (None, 35 + 15, "caution", True), 6: (None, 0, "safe", False), 7: (None, 0, "safe", False)}
+    assert of(icons, known) == plain | {1: (1, 80, "danger", True), 5: (None, 55, "danger", True), 8: (0, 80, "caution", True)}
+    assert of(icons, known.limit(0)) == of(icons.limit(0), known) == plain | {1: (1, 45, "caution", True), 5: (None, 55, "danger", True), 8: (0, 45, "caution", True)}
+    assert rules.assessed(signals.drop("icon_brand").limit(0), found, icons, known).count() == 0
