@@ -3,12 +3,13 @@
 Each is a rule for one key: what it remembers, the time of a request and a flag give what it remembers next, whether the
 request is allowed, and how long to wait.  The same rule runs over a finished table (`in_batch`) and over a stream
 (`in_stream`).  A key's requests depend on each other and are seen in order by one task; what a task holds is one key's
-memory, however many requests it has.
+memory, however many requests it has.  A rule over all requests runs in slices of time (`in_slices`).
 """
 
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,22 +72,72 @@ def _schema(rows: DataFrame) -> T.StructType:
     return T.StructType([*rows.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("wait_ms", T.LongType())])
 
 
-def in_batch(rows: DataFrame, rule: Rule) -> DataFrame:
-    """`rows` (key, at_ms, flag, ord and others; no nulls in these) with allowed and wait_ms; `ord` orders requests of one time."""
+def _walked(rows: DataFrame, by: str, rule: Rule, starts: dict[int, list[float]], ends: bool = False) -> DataFrame:
+    """`rows` judged group after group; a group begins with what `starts` has for it, else with nothing.  With `ends`, only `by` and the memory at the end of each group."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, memory = None, []
         for b in batches:
             parts = []
-            for key, some in b.groupby("key", sort=False):
-                if key != last:
-                    last, memory = key, []
+            for group, some in b.groupby(by, sort=False):
+                if group != last:
+                    if ends and last is not None:
+                        yield pd.DataFrame({by: [last], "memory": [memory]})
+                    last, memory = group, starts.get(group, [])
                 done, memory = _judged(some, memory, rule)
                 parts.append(done)
-            if parts:
+            if parts and not ends:
                 yield pd.concat(parts)
+        if ends and last is not None:
+            yield pd.DataFrame({by: [last], "memory": [memory]})
+
+    schema = T.StructType([rows.schema[by], T.StructField("memory", T.ArrayType(T.DoubleType()))]) if ends else _schema(rows)
+    return rows.repartition(by).sortWithinPartitions(by, "at_ms", "ord").mapInPandas(walk, schema)
+
+
+def in_batch(rows: DataFrame, rule: Rule) -> DataFrame:
+    """`rows` (key, at_ms, flag, ord and others; no nulls in these) with allowed and wait_ms; `ord` orders requests of one time."""
+    return _walked(rows, "key", rule, {})
 
-    return rows.repartition("key").sortWithinPartitions("key", "at_ms", "ord").mapInPandas(walk, _schema(rows))
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows in the checkpoint folder that the cluster shares; a temporary one in local mode where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="clauselake-"))
+    return df.checkpoint()
+
+
+def in_slices(rows: DataFrame, rule: Rule, slices: int | None = None) -> DataFrame:
+    """`rows` (at_ms, flag, ord and others; no key) under one rule over all of them, with allowed and wait_ms: as `in_batch` with one key, but in slices of time.
+
+    Each of the `slices` (as many as a shuffle has partitions, if not given) is judged as if nothing had come before it;
+    then those that begin with another memory than the one before them ends with are judged again, until all agree.
+    The driver holds one memory a slice.  Slices agree soon where the rule forgets within a slice (a bucket fills up, a
+    window passes).  Under a limit that is never at rest each round settles one slice more: that takes as long as one
+    task would, but no task holds more than a slice.  `rows` are read again in each round, hence should be stored.
+    """
+    slices = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / slices for i in range(1, slices)]
+    found = rows.agg(F.percentile_approx("at_ms", shares)).first()[0] if shares else None
+    cuts = sorted(set(found or []))
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("at_ms"))) if cuts else F.lit(0)
+    placed = rows.withColumn("_slice", number)
+    starts: dict[int, list[float]] = {i: [] for i in range(len(cuts) + 1)}
+    ends: dict[int, list[float]] = {}
+    wrong = list(starts)
+    while wrong:
+        ends |= {r["_slice"]: r["memory"] for r in _walked(placed.where(F.col("_slice").isin(wrong)), "_slice", rule, starts, ends=True).collect()}
+        wrong = []
+        for i in range(1, len(starts)):
+            before = ends.get(i - 1, starts[i - 1])  # a slice without rows passes on what it gets
+            if before != starts[i]:
+                starts[i] = before
+                wrong.append(i)
+    return _walked(placed, "_slice", rule, starts).drop("_slice")
 
 
 def in_stream(rows: DataFrame, rule: Rule, idle_ms: int, late: str = "1 minute") -> DataFrame:
@@ -114,12 +165,8 @@ def in_stream(rows: DataFrame, rule: Rule, idle_ms: int, late: str = "1 minute")
     return timed.groupBy("key").applyInPandasWithState(walk, _schema(rows), "memory array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def two_levels(rows: DataFrame, per_key: Rule, overall: Rule) -> DataFrame:
-    """First each key's rule, then, for what that allows, one rule over all keys; a key's token is spent either way.
-
-    The second is one sequence by nature: what passes the first level goes through one task, which holds only its rule's memory.
-    """
-    first = in_batch(rows, per_key)
-    passed = first.where("allowed").drop("allowed", "wait_ms").withColumn("_key", F.col("key")).withColumn("key", F.lit("all"))
-    second = in_batch(passed, overall).withColumn("key", F.col("_key")).drop("_key")
+def two_levels(rows: DataFrame, per_key: Rule, overall: Rule, slices: int | None = None) -> DataFrame:
+    """First each key's rule, then, for what that allows, one rule over all keys (see `in_slices`); a key's token is spent either way."""
+    first = _kept(in_batch(rows, per_key))
+    second = in_slices(first.where("allowed").drop("allowed", "wait_ms"), overall, slices)
     return first.where("not allowed").unionByName(second)

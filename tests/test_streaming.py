@@ -1,5 +1,6 @@
 """Limits in batch and over a stream, changes and caches."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -29,12 +30,27 @@ def test_lockout(spark):
     assert judged(spark, rule, rows) == [(True, 0), (True, 0), (True, 0), (False, 970), (False, 1), (True, 0), (True, 0), (True, 0)]
 
 
+@pytest.mark.parametrize("gap", [3, 40, 2000])  # never at rest, now and then, always
+@pytest.mark.parametrize("rule", [limits.token_bucket(5, 500), limits.once_per(100), limits.lockout(3, 200)])
+def test_slices_of_time_are_one_sequence(spark, rule, gap):
+    draw = random.Random(gap)
+    times, at = [], 0
+    for _ in range(300):
+        at += draw.choice([0, 0, draw.randrange(gap)])
+        times.append(at)
+    rows = spark.createDataFrame([("all", float(t), draw.random() < 0.1, n) for n, t in enumerate(times)], COLUMNS)
+    want = {r.ord: (r.allowed, r.wait_ms) for r in limits.in_batch(rows, rule).collect()}
+    for slices in (1, 7):
+        assert {r.ord: (r.allowed, r.wait_ms) for r in limits.in_slices(rows.drop("key"), rule, slices).collect()} == want
+
+
 def test_once_per_and_two_levels(spark):
     day = 86_400_000
     assert [x for x, _ in judged(spark, limits.once_per(day), [("a", 0, False), ("a", day - 1, False), ("a", day, False), ("a", 2 * day - 1, False)])] == [True, False, True, False]
     df = spark.createDataFrame([("a", 0.0, False, 0), ("a", 1.0, False, 1), ("b", 2.0, False, 2), ("c", 3.0, False, 3)], COLUMNS)
     got = limits.two_levels(df, limits.token_bucket(1, 1e9), limits.token_bucket(2, 1e9)).orderBy("ord").collect()
     assert [r.allowed for r in got] == [True, False, True, False]
+    assert limits.two_levels(df.limit(0), limits.once_per(5), limits.once_per(5)).count() == 0
     assert limits.in_batch(df.limit(0), limits.once_per(5)).count() == 0
 
 
