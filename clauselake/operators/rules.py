@@ -52,8 +52,8 @@ def reportable(exfil_sinks: Column, devtools_blocks: Column) -> Column:
 
 
 def _page_hits(allowed: Sequence[str], third_parties: Sequence[str]) -> Column:
-    """The hits of a row of `page_hits`."""
-    site = U.registrable(F.col("hostname"))
+    """The hits of a row of `page_hits` whose registrable domain is in _site."""
+    site = F.col("_site")
     empty = F.array().cast("array<string>")
     of = {c: F.coalesce(c, empty) for c in ("icon_urls", "referenced_hosts", "sending_hosts", "exfil_sinks", "devtools_blocks")}
     foreign = F.filter(F.array_distinct(F.concat(of["sending_hosts"], of["referenced_hosts"])), lambda h: (U.registrable(h) != site) & ~U.registrable(h).isin(*third_parties))
@@ -76,7 +76,7 @@ def page_hits(pages: DataFrame, allowed: Sequence[str] = (), third_parties: Sequ
 
     Allowed sites (registrable domains) have none; `third_parties` are domains that any site may talk to.
     """
-    return pages.select("page", _page_hits(allowed, third_parties).alias("hits"))
+    return pages.withColumn("_site", U.registrable(F.col("hostname"))).select("page", _page_hits(allowed, third_parties).alias("hits"))
 
 
 def form_hits(forms: DataFrame, fields: DataFrame, pages: DataFrame, brands: DataFrame, lookalikes: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
@@ -149,10 +149,11 @@ def pages_assessed(scored_forms: DataFrame, hits: DataFrame) -> DataFrame:
 
 def _worst(forms: Column, before: Column) -> Column:
     """The form, score, hits and verdict of the worst of a page's `forms` (see `form_hits`) that are not safe, the first of equals; null without any."""
-    judged = F.transform(forms, lambda f: F.struct(f["form"].alias("form"), *_judged(before, f["own"], f["known"], f["free"])))
-    bad = F.filter(judged, lambda f: f["verdict"] != "safe")
-    highest = F.array_max(F.transform(bad, lambda f: f["score"]))
-    return F.get(F.array_sort(F.filter(bad, lambda f: f["score"] == highest), lambda a, b: (a["form"] - b["form"]).cast("int")), F.lit(0))
+    def judged(f: Column) -> Column:
+        score, hits, verdict = _judged(before, f["own"], f["known"], f["free"])
+        return F.struct(score, (-f["form"]).alias("minus"), f["form"].alias("form"), hits, verdict)
+
+    return F.array_max(F.filter(F.transform(forms, judged), lambda f: f["verdict"] != "safe"))
 
 
 def assessed(signals: DataFrame, found: DataFrame, icons: DataFrame, known: DataFrame, allowed: Sequence[str] = (), third_parties: Sequence[str] = ()) -> DataFrame:
@@ -167,7 +168,7 @@ def assessed(signals: DataFrame, found: DataFrame, icons: DataFrame, known: Data
     """
     forms = found.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("form", "own", "known", "free"))).alias("_forms"))
     kept = ["page", "hostname", "icon_urls", "referenced_hosts", "sending_hosts", "exfil_sinks", "devtools_blocks", "sensitive"]
-    rows = signals.where("page is not null").select(*kept).join(forms, "page", "left")
+    rows = signals.where("page is not null").select(*kept).withColumn("_site", U.registrable(F.col("hostname"))).join(forms, "page", "left")
     rows = rows.withColumn("icon_brand", F.lit(None).cast("string")).withColumn("_hits", _page_hits(allowed, third_parties))
     said = F.coalesce(_worst(F.col("_forms"), F.col("_hits"))["score"] >= ICON_GATE, F.lit(False)) | (F.size("_hits") > 0)
     rows = rows.withColumn("asked", said).drop("_hits", "icon_brand")
@@ -183,5 +184,7 @@ def assessed(signals: DataFrame, found: DataFrame, icons: DataFrame, known: Data
     brands = icon_matches(distinct, known.select("brand", F.lower("hash").alias("hash"))).select(F.col("icon").alias("_hash"), F.col("brand").alias("icon_brand"))
     rows = rows.join(brands, "_hash", "left").withColumn("_hits", _page_hits(allowed, third_parties)).withColumn("_form", _worst(F.col("_forms"), F.col("_hits")))
     score, hits, verdict = _alone(F.col("_hits"))
-    alone = F.struct(F.lit(None).cast(found.schema["form"].dataType).alias("form"), score, hits, verdict)
-    return rows.withColumn("_told", F.coalesce("_form", alone)).select("page", "_told.form", "_told.score", "_told.hits", "_told.verdict", "asked")
+    form = found.schema["form"].dataType
+    alone = F.struct(score, F.lit(None).cast(form).alias("form"), hits, verdict)
+    told = F.struct(*[F.col(f"_form.{c}").alias(c) for c in ("score", "form", "hits", "verdict")])
+    return rows.withColumn("_told", F.when(F.col("_form").isNotNull(), told).otherwise(alone)).select("page", "_told.form", "_told.score", "_told.hits", "_told.verdict", "asked")
