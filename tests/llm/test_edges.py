@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,36 @@ def test_tokenizer_that_joins_over_spaces(spark):
     assert got == {i: brute.token_pieces(t, Tokenizer.from_file(path))[0] for i, t in enumerate(texts)}
 
 
+def test_words_share_tokens(spark, monkeypatch):
+    """Words that differ in case or closing marks are encoded once, plain ones by the model alone; odd ones as the tokenizer reads them whole."""
+    from tokenizers import Tokenizer
+
+    tokens = packing.WordTokens(queries.tokenizer_path())
+    asked, encode = [], packing.WordTokens.encode
+    monkeypatch.setattr(packing.WordTokens, "encode", lambda self, parts: (asked.extend(parts), encode(self, parts)))
+    plain = ["onhe", "onhe***", "Onhe,&&&", "queí.", "QUEÍ", "queí%%%", "queí"]
+    odd = ["<|endoftext|>", "<|ENDOFTEXT|>", "x<|endoftext|>***", "<|endoftext|", "don't***", "DON'S'", "'s.", "a'***", "***", "e\u0301a!", "straße", "STRASSE", "ẞ.", "İx.", "µm.", "ﬁn.", "Σας.", "漢字.", "×.", "a×", "ÿ--", "Ÿ--", "x\x1cy.", "x\u0338.", "<\u0338", "555-4564", "½x", "a\u200b.", "\xa0a."]
+    texts = [" ".join(plain), *odd, " ".join(odd), " \t" + "\n\x0b".join(odd) + "\r\n", None, "", " ", "tail "]
+    for _ in range(2):
+        flat, first = tokens.texts(pa.array(["left out", *texts], pa.string()).slice(1))
+        whole = Tokenizer.from_file(queries.tokenizer_path())
+        assert [flat[a:z].tolist() for a, z in zip(first[:-1], first[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert {a for a in asked if b"onhe" in a.lower() or b"que" in a.lower()} == {b"onhe", "queí".encode()}
+    assert len(asked) == len(set(asked))
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r.doc_id: (r.start, r.length, r.ids_crc32, r.doc_tokens) for r in packing.pack_documents(docs, queries.tokenizer_path(), 2048, 1).collect()}
+    assert got == {i: brute.token_pieces(t, whole)[0] for i, t in enumerate(odd)}
+
+
+def test_plain_words_need_no_patterns():
+    tokens = packing.WordTokens(queries.tokenizer_path())
+    words = ["onhe", "ciónieción", "verschätete", "the"]
+    want = [tokens.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    tokens.tokenizer = None
+    flat, first = tokens.texts(pa.array(words))
+    assert [flat[a:z].tolist() for a, z in zip(first[:-1], first[1:])] == want
+
+
 def test_mixing(odd, none):
     rows = mixing.mix_sources(odd).collect()
     assert len(rows) == len(TEXTS) + 1 and all(0 <= r.taken <= 3 * r["size"] for r in rows)
