@@ -6,9 +6,14 @@ over a grid is one explode of that grid (of fixed size) and one aggregation with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import digests
 from ..functions import probability as P
 from ..labels import OTHER
 
@@ -113,32 +118,44 @@ def other_bias(scored: DataFrame, low: float = -3.0, high: float = 3.0, step: fl
     return summary(confusion(rows.withColumn("pred", P.argmax(P.with_bias(F.col("logits"), F.col("bias")))), by=("bias",)), by=("bias",)).select("bias", "macro_f1")
 
 
-#: Hexadecimal digits of a draw's digest that count: 60 bits.
-DIGITS = 15
+#: Draws that are judged at once, and such lots of a task.
+LOT, LOTS = 1 << 15, 64
 
 
 def exact_draws(cells: DataFrame, boots: int, seed: int = 1, by: str = "boot") -> DataFrame:
     """`cells` (n and others) of each resample: n rows drawn with replacement, as many as there are.
 
     A resample of rows changes no metric beyond the counts of their cells, so what is drawn are places among all rows,
-    cell after cell in the order of their other columns: a digest of seed, resample and draw modulo the number of rows.
-    Draws are dealt over tasks and added up before they move; reruns and other systems draw alike.  The driver sees the
-    cells, one for each pair (or triple) of classes.
+    cell after cell in the order of their other columns: a digest of seed, resample and draw (its first 60 bits) modulo
+    the number of rows.  Draws are dealt over tasks in lots, each digest is computed once, by arrays, and draws are added
+    up before they move; reruns and other systems draw alike.  The driver sees the cells, one for each pair (or triple)
+    of classes.
     """
     spark, names = cells.sparkSession, [c for c in cells.columns if c != "n"]
     rows = sorted(cells.select(*names, F.col("n").cast("long").alias("n")).where("n > 0").collect(), key=lambda r: tuple(r[c] for c in names))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema if f.name in names)
+    schema = f"{by} long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cells.schema if f.name in names)}, n long"
     total = sum(r["n"] for r in rows)
     if not total:
-        return spark.createDataFrame([], f"{by} long, {kinds}, n long")
-    ends = F.array(*[F.lit(sum(r["n"] for r in rows[: i + 1])) for i in range(len(rows))])
-    draws = spark.range(boots * total).select((F.floor(F.col("id") / total) + 1).alias(by), (F.col("id") % total).alias("j"))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(by), F.col("j")).cast("binary"))
-    place = F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("long") % total
-    counted = draws.select(by, F.size(F.filter(ends, lambda e: e <= place)).alias("_cell")).groupBy(by, "_cell").agg(F.count(F.lit(1)).alias("n"))
-    # One row a cell.
-    named = spark.createDataFrame([(i, *(r[c] for c in names)) for i, r in enumerate(rows)], f"_cell int, {kinds}")
-    return counted.join(F.broadcast(named), "_cell").select(by, *names, "n")
+        return spark.createDataFrame([], schema)
+    named, ends = pd.DataFrame([r[:-1] for r in rows], columns=names), np.cumsum([r["n"] for r in rows])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            first = b["id"].min() * LOT // total
+            n = np.zeros(((b["id"].max() + 1) * LOT // total - first + 1) * len(ends), np.int64)  # as many as draws, about
+            for lot in b["id"]:
+                ids = np.arange(lot * LOT, min((lot + 1) * LOT, boots * total))
+                boot = ids // total
+                place = (digests.leading(seed, boot + 1, ids % total) % np.uint64(total)).astype(np.int64)
+                found = np.bincount((boot - boot[0]) * len(ends) + np.searchsorted(ends, place, side="right"))
+                at = (boot[0] - first) * len(ends)
+                n[at : at + len(found)] += found
+            seen = np.flatnonzero(n)
+            yield named.iloc[seen % len(ends)].assign(**{by: first + 1 + seen // len(ends), "n": n[seen]})
+
+    lots = -(-boots * total // LOT)
+    tasks = max(-(-lots // LOTS), min(lots, spark.sparkContext.defaultParallelism))
+    return spark.range(0, lots, 1, tasks).mapInPandas(draw, schema).groupBy(by, *names).agg(F.sum("n").alias("n"))
 
 
 def bootstrap(scored: DataFrame, boots: int = 1000, seed: int = 1, pred: str = "pred") -> DataFrame:
