@@ -14,13 +14,13 @@ def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
     scaled = F.transform(logits, lambda x: x.cast("double") / t)
     powers = lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    share = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    share = lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda s: F.transform(e, lambda x: x / s))
     return let(let(scaled, powers), lambda e: F.when(F.size(e) > 0, share(e)))
 
 
 def argmax(values: Column) -> Column:
     """Position from 0 of the first largest."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def decide(probs: Column, threshold: float | Column | None = None) -> Column:
@@ -28,8 +28,8 @@ def decide(probs: Column, threshold: float | Column | None = None) -> Column:
     if threshold is None:
         return argmax(probs)
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    rest = F.transform(probs, lambda p, i: F.when(i == OTHER, F.lit(float("-inf"))).otherwise(p))
-    return F.when(F.element_at(probs, OTHER + 1) >= t, OTHER).otherwise(argmax(rest))
+    rest = lambda ps: F.transform(ps, lambda p, i: F.when(i == OTHER, F.lit(float("-inf"))).otherwise(p))
+    return let(probs, lambda ps: F.when(F.element_at(ps, OTHER + 1) >= t, OTHER).otherwise(argmax(rest(ps))))
 
 
 def category(index: Column) -> Column:

@@ -33,3 +33,26 @@ def test_each_draw_is_digested_once(spark):
     began = time.monotonic()
     drawn = metrics.exact_draws(cells, 1000).collect()
     assert time.monotonic() - began < 45 and sum(r.n for r in drawn) == 1000 * 81 * 40
+
+
+def test_both_sides_share_one_table_of_draws(spark):
+    rows = spark.createDataFrame([(n % 9, n % 7, (n + n // 50) % 7) for n in range(300)], "gold int, a int, b int")
+    got = metrics.paired_bootstrap(rows, "a", "b", 40)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    cells = sorted(Counter((r.gold, r.a, r.b) for r in rows.collect()).items())
+    ordered = [c for c, n in cells for _ in range(n)]
+
+    def macro(drawn, at):
+        f1 = []
+        for cls in {d[0] for d in drawn}:
+            tp = sum(d[0] == d[at] == cls for d in drawn)
+            f1.append(2 * tp / (sum(d[0] == cls for d in drawn) + sum(d[at] == cls for d in drawn)))
+        return sum(f1) / len(f1)
+
+    deltas = []
+    for boot in range(1, 41):
+        drawn = [ordered[digest(1, boot, j) % 300] for j in range(300)]
+        deltas.append(macro(drawn, 2) - macro(drawn, 1))
+    r = got.first()
+    assert abs(r.delta - np.mean(deltas)) < 1e-12 and abs(r.low - np.quantile(deltas, 0.025)) < 1e-12 and abs(r.high - np.quantile(deltas, 0.975)) < 1e-12
+    assert r.b_better == np.mean([d > 0 for d in deltas])
