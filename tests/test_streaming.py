@@ -107,3 +107,21 @@ def test_hot_key_needs_little_memory(rule):
     for t in range(5000):
         memory, _, _ = rule(memory, float(t), False)
     assert len(memory) <= 10
+
+
+def test_slices_are_judged_a_few_times(spark):
+    """A bucket that is never at rest: rounds over all slices that still differ would judge half of their number squared."""
+    slices, n = 24, 480
+    calls = spark.sparkContext.accumulator(0)
+    bucket = limits.token_bucket(5, 100_000)
+
+    def rule(memory, at, flag):
+        calls.add(1)
+        return bucket(memory, at, flag)
+
+    rows = spark.createDataFrame([("all", float(t * 37), False, t) for t in range(n)], COLUMNS)
+    got = {r.ord: (r.allowed, r.wait_ms) for r in limits.in_slices(rows.drop("key"), rule, slices).collect()}
+    assert n < calls.value <= 5 * n
+    assert got == {r.ord: (r.allowed, r.wait_ms) for r in limits.in_batch(rows, bucket).collect()}
+    one = {r.ord: (r.allowed, r.wait_ms) for r in limits.in_slices(rows.withColumn("at_ms", F.lit(7.0)), bucket, slices).collect()}
+    assert sum(ok for ok, _ in one.values()) == 5 and all(one[i][0] for i in range(5))
